@@ -18,6 +18,19 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_digest(_read(spark, sf_dir, "documents"), C.scratch(spark, "orc"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.license_scan import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
+def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.quality_ledger import apply_policy, ledger
+
+    found = apply_policy(ledger(_read(spark, sf_dir, "documents")), "v2")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegate.llm.token_scan import token_counts
 
@@ -31,7 +44,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_orc, op4_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_quality_ledger, op4_token_counts, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
