@@ -37,6 +37,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), C.scratch(spark, "flat"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.secret_scan import digest, scan
+
+    return digest(scan(_read(spark, sf_dir, "documents")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.decontaminate import matches
+
+    return matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegate.llm.packing import pack
 
@@ -44,7 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_quality_ledger, op4_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_quality_ledger, op4_token_counts, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
