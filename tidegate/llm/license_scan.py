@@ -86,7 +86,7 @@ NAMES: list[tuple[str, str, str]] = [
     ("cc0", "cc0", r"cc0 (?:1 0 )?(?:universal )?"),
     ("cc-by-nc-nd", "noderiv", r"(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s? (?:works )?"),
     ("cc-by-nc-sa", "sharealike", r"(?:creative commons )?attribution non ?commercial share ?alike "),
-    ("cc-by-nc", "commercial", r"(?:creative commons )?attribution non ?commercial "),
+    ("cc-by-nc", "commercial", r"(?:creative commons )?attribution non ?commercial (?!no ?deriv|share)"),
     ("cc-by-nd", "noderiv", r"(?:creative commons )?attribution no ?deriv(?:ative)?s? "),
     ("cc-by-sa", "alike", r"(?:creative commons )?attribution share ?alike "),
     ("cc-by", "attribution", r"creative commons attribution "),
@@ -94,7 +94,8 @@ NAMES: list[tuple[str, str, str]] = [
     ("cc-by-nc-sa", "sa", r"cc by nc sa (?:[1234] [05] )?"),
     ("cc-by-nd", "nd", r"cc by nd (?:[1234] [05] )?"),
     ("cc-by-sa", "sa", r"cc by sa (?:[1234] [05] )?"),
-    ("cc-by", "cc", r"cc by (?:[1234] [05] )?"),
+    ("cc-by-nc", "nc", r"cc by nc (?!(?:nd|sa) )(?:[1234] [05] )?"),
+    ("cc-by", "cc", r"cc by (?!(?:nc|nd|sa) )(?:[1234] [05] )?"),
     ("cc", "creative", r"creative commons (?:licen[sc]e )?"),
 ]
 #: What may stand before a name: priority (lower wins), confidence, expression.
