@@ -37,6 +37,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), C.scratch(spark, "flat"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.toxicity import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegate.llm.langid import identify
 
@@ -62,7 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_quality_ledger, op4_token_counts, op6_language_id, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_quality_ledger, op4_token_counts, op5_toxicity, op6_language_id, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
