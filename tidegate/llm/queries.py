@@ -49,6 +49,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=3, threshold=(9, 10))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegate.llm.secret_scan import digest, scan
 
@@ -68,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_quality_ledger, op4_token_counts, op5_toxicity, op6_language_id, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_quality_ledger, op4_token_counts, op5_toxicity, op6_language_id, op7_jaccard_join, op8_secret_scan, op9_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
