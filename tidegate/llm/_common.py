@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on; bounds a worker's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 #: Words that a worker keeps encoded. A full cache is emptied, so memory is bounded.
 CACHE_WORDS = 800_000
 
 
 def settings(spark: SparkSession) -> None:
-    """Rows of an Arrow batch: texts may be long, so batches are short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Arrow batches are bounded by their bytes: a batch of very long texts has few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,15 +85,22 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         keep = codes != empty
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets - offsets[0]]
         codes = codes[keep]
-        return offsets, codes, distinct
+        return offsets, codes - (codes > empty), pa.concat_arrays([distinct.slice(0, empty), distinct.slice(empty + 1)])
     return offsets - offsets[0], codes, distinct
 
 
+#: Byte-level BPE writes printable bytes as themselves and the other ones as characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
+
+
 class WordEncoder:
     """Token ids of whole texts by the tokenizers library, each distinct word encoded once.
 
-    Exact for tokenizers whose pre-tokenizer drops white space and matches nothing across it: then the ids of a text
-    are the ids of its words, one after another. word_bpe_49k.json is such a one.
+    Exact for tokenizers whose pre-tokenizer drops white space, matches nothing across it and takes letters and other
+    characters apart, as that of word_bpe_49k.json: then the ids of a text are the ids of its words, one after
+    another. Words of lower-case Latin letters, which the normalizer leaves as they are, go straight to the model;
+    those with a comma or a full stop behind them are their ids and that of the mark; others take the whole way.
     """
 
     def __init__(self, path: str):
@@ -99,6 +108,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.marks = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."}
         self.clear()
 
     def clear(self) -> None:
@@ -108,6 +119,34 @@ class WordEncoder:
         self.lens = np.zeros(CACHE_WORDS, np.int64)
         self.used = 0
 
+    def plain(self, word: str) -> list[int] | None:
+        """The ids of a word of lower-case Latin letters; None for any other word."""
+        if not word.isalpha() or max(word) >= "\u0250" or word.lower() != word or not is_normalized("NFC", word):
+            return None
+        return [x.id for x in self.model.tokenize(word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode())))]
+
+    def fresh(self, new: list[str]) -> list[list[int]]:
+        """The ids of words that are not known yet."""
+        out: list = [None] * len(new)
+        rest = []
+        for i, word in enumerate(new):
+            mark = self.marks.get(word[-1:])
+            if mark and len(word) > 1:
+                base = word[:-1]
+                at = self.known.get(base)
+                if at is not None and base.isalpha():
+                    out[i] = self.flat[self.starts[at] : self.starts[at] + self.lens[at]].tolist() + mark
+                elif (ids := self.plain(base)) is not None:
+                    out[i] = ids + mark
+            elif word:
+                out[i] = self.plain(word)
+            if out[i] is None:
+                rest.append(i)
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
     def places(self, distinct: list[str]) -> np.ndarray:
         """Where the words' ids are; encodes the new ones."""
         if len(self.known) + len(distinct) > len(self.starts):
@@ -117,7 +156,7 @@ class WordEncoder:
         known = self.known
         new = [w for w in distinct if w not in known]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids = self.fresh(new)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             total, n = int(lens.sum()), len(known)
             if self.used + total > len(self.flat):

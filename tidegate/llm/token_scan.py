@@ -68,11 +68,8 @@ def blocks(spark: SparkSession, path: str, end_id: int = END_ID) -> DataFrame:
             ends = [np.flatnonzero(x == mark).astype(np.int32) for x in raw]
             yield pa.record_batch([batch.column("part"), batch.column("block"), pa.array([len(x) for x in raw], pa.int64()), pa.array(ends, pa.list_(pa.int32()))], ["part", "block", "n_ids", "ends"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # of blocks
-    try:
-        return C.written(cut.mapInArrow(search, "part int, block int, n_ids long, ends array<int>"), "blocks")
-    finally:
-        C.settings(spark)
+    C.settings(spark)
+    return C.written(cut.mapInArrow(search, "part int, block int, n_ids long, ends array<int>"), "blocks")
 
 
 def separator_scan(spark: SparkSession, path: str, end_id: int = END_ID) -> DataFrame:
