@@ -5,9 +5,9 @@ their sets is at least num / den = t; a set X of n shingles then misses at most
 any partner. In one order of all shingles, rarest first, linked sets share a shingle among the first e + 1 of each,
 and l shingles among the first e + l: the l-prefix. The steps:
 
-1. One pass over the texts writes each set's size, its 64-bit key, and its shingles of a fixed part of the hash range
-   (all of them for small sets). A class with more than e shingles that no other class has can have no partner. This
-   sieve leaves few classes; their whole sets are made again and written.
+1. One pass over the texts writes each set's size, its 64-bit key, and its shingles of a fixed part of the hash range.
+   A class with more than e shingles there that no other class has can have no partner. This sieve leaves few classes;
+   their whole sets are made again and written.
 2. Among these, shingles are counted. Each class gets its l-prefix: l grows while the estimated cost of the candidates
    falls.
 3. Each prefix shingle names a hub, the member with the fewest shingles of its own. Members are verified against
@@ -103,11 +103,9 @@ def _tables(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
         for batch in C.slices(batches):
             n, key, parts = [], [], []
             for found in shingle_sets(batch.column("text"), k):
-                part = found[: np.searchsorted(found, limit)]
-                size = len(found)
-                n.append(size)
-                key.append(_key(found) if size else None)
-                parts.append((part if len(part) >= size - -(-num * size // den) + 8 else found).view(np.int64))
+                n.append(len(found))
+                key.append(_key(found) if len(found) else None)
+                parts.append(found[: np.searchsorted(found, limit)].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *parts]))
             ids = [batch.column(c).cast(pa.int64()) for c in ("doc_id", "jid")]
