@@ -12,7 +12,7 @@ and l shingles among the first e + l: the l-prefix. The steps:
    falls.
 3. Each prefix shingle names a hub, the member with the fewest shingles of its own. Members are verified against
    their hubs, which links large groups of near copies by as many pairs as there are members.
-4. Members of a prefix shingle that share no hub are compared in blocks of bounded size: sizes, shingles of their own,
+4. Members of a prefix shingle that these links do not connect are compared in blocks of bounded size: sizes, shingles of their own,
    and parity bitmaps bound the similarity from above. Pairs that pass, and share as many prefix shingles as the
    shorter prefix demands, are verified on the whole sets.
 5. Connected components of the links, by alternating stars.
@@ -198,19 +198,17 @@ def _bitmaps(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _other_links(prefixes: DataFrame, hub_links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Step 4: the links (x, y) of classes without a common hub."""
-    ends = hub_links.select(F.col("x").alias("key"), F.col("y").alias("hub")).unionByName(hub_links.select(F.col("y").alias("key"), F.col("y").alias("hub")))
-    hubs = ends.groupBy("key").agg(F.min("hub").alias("hub"))
-    rows = prefixes.join(hubs, "key", "left").withColumn("hub", F.coalesce("hub", "key"))
-    lists = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("hub").alias("a"), F.max("hub").alias("b")).filter("a != b")
+def _other_links(prefixes: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Step 4: the links (x, y) between the components that the hubs have made; roots: (key, root)."""
+    rows = prefixes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lists = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b")
     # a long list is cut into blocks; each pair of blocks is a group of its own
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.join(lists.select("token", blocks.alias("blocks")), "token").withColumn("at", F.pmod(F.xxhash64("key", "token"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("group", F.xxhash64("token", F.least("at", "other"), F.greatest("at", "other"))).withColumn("side", (F.col("at") <= F.col("other")).cast("int"))
     rows = rows.withColumn("alone", F.col("at") == F.col("other"))
-    rows = rows.join(sets.select("key", "bits"), "key").select("group", "side", "alone", "key", "n", "own", "l", "level", "hub", "bits")
+    rows = rows.join(sets.select("key", "bits"), "key").select("group", "side", "alone", "key", "n", "own", "l", "level", "root", "bits")
     rows = rows.repartition("group").sortWithinPartitions("group")
 
     def compare(t: dict[str, np.ndarray], bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -222,7 +220,7 @@ def _other_links(prefixes: DataFrame, hub_links: DataFrame, sets: DataFrame, num
             if not len(js):
                 continue
             l = np.minimum(t["l"][i], t["l"][js])
-            js = js[(t["hub"][js] != t["hub"][i]) & (t["key"][js] != t["key"][i]) & (np.maximum(t["level"][i], t["level"][js]) <= l)]
+            js = js[(t["root"][js] != t["root"][i]) & (np.maximum(t["level"][i], t["level"][js]) <= l)]
             js = js[_may_link(t["n"][i], t["n"][js], t["own"][i] + t["own"][js], 0, num, den)]
             if len(js):
                 js = js[_may_link(t["n"][i], t["n"][js], 0, np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64), num, den)]
@@ -243,15 +241,17 @@ def _other_links(prefixes: DataFrame, hub_links: DataFrame, sets: DataFrame, num
     def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        t = {c: table.column(c).to_numpy() for c in ("group", "side", "alone", "key", "n", "own", "l", "level", "hub")}
+        t = {c: table.column(c).to_numpy() for c in ("group", "side", "alone", "key", "n", "own", "l", "level", "root")}
         bits = _bitmaps(table.column("bits").combine_chunks())
         cuts = np.flatnonzero(np.concatenate([[True], t["group"][1:] != t["group"][:-1], [True]]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            for x, y, l in compare({c: v[a:b] for c, v in t.items()}, bits[a:b]):
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(l.astype(np.int32))], ["x", "y", "l"])
-
-    found = rows.mapInArrow(search, "x long, y long, l int")
-    pairs = found.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("l").alias("l")).filter("shared >= l")
+        found = [f for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) for f in compare({c: v[a:b] for c, v in t.items()}, bits[a:b])]
+        if found:
+            x, y, l = (np.concatenate(c) for c in zip(*found))
+            pairs, times = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), l]), axis=1, return_counts=True)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32)), pa.array(times)], ["x", "y", "l", "times"])
+
+    found = rows.mapInArrow(search, "x long, y long, l int, times long")
+    pairs = found.groupBy("x", "y").agg(F.sum("times").alias("shared"), F.min("l").alias("l")).filter("shared >= l")
     return _verified(pairs, sets, num, den)
 
 
@@ -288,8 +288,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
     rows, sets = _tables(docs, k, num, den)
     prefixes = C.written(_prefixes(sets, num, den), "prefixes")
     by_hub = C.written(_hub_links(prefixes, sets, num, den), "links")
-    others = C.written(_other_links(prefixes, by_hub, sets, num, den), "links")
-    roots = components(by_hub.unionByName(others))
+    roots = C.written(components(by_hub), "roots")
+    others = C.written(_other_links(prefixes, roots, sets, num, den), "links")
+    if others.take(1):
+        roots = components(roots.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(others))
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     joined = roots.join(classes, "key").select("key", "root", "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
