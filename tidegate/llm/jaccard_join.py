@@ -56,9 +56,10 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
 
     offsets, codes, distinct = C.words(pc.ascii_lower(text))
     word = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
-    spread = np.zeros(max(0, len(word) - k + 1), np.uint64)
+    n = max(0, len(word) - k + 1)
+    spread = np.zeros(n, np.uint64)
     for j in range(k):
-        spread = spread * np.uint64(0x9E3779B97F4A7C15) + word[j : len(word) - k + 1 + j]
+        spread = spread * np.uint64(0x9E3779B97F4A7C15) + word[j : j + n]
     spread = _mix(spread)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= k:
