@@ -17,7 +17,8 @@ from tidegate.llm import _common as C
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: License names: label, keyword that any match contains, expressions for the name in words (a space behind each word).
 NAMES: list[tuple[str, str, str]] = [
-    ("mit", "mit", r"(?:mit|expat) (?:x11 )?licen[sc]e "),
+    ("mit", "mit", r"mit (?:x11 )?licen[sc]e "),
+    ("mit", "expat", r"expat licen[sc]e "),
     ("mit-0", "attribution", r"mit no attribution "),
     ("x11", "x11", r"x11 licen[sc]e "),
     ("isc", "isc", r"isc licen[sc]e "),
@@ -45,7 +46,7 @@ NAMES: list[tuple[str, str, str]] = [
     ("ipl", "ibm", r"ibm public licen[sc]e "),
     ("agpl-3", "affero", r"(?:gnu )?affero general public licen[sc]e (?:version |v )?3 "),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e "),
-    ("lgpl-2", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e (?:version |v )?2 (?:[01] )?"),
+    ("lgpl-2", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2 (?:[01] )?"),
     ("lgpl-2", "library", r"(?:gnu )?library general public licen[sc]e (?:version |v )?2 (?:[01] )?"),
     ("lgpl-3", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?3 "),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e "),
@@ -61,7 +62,8 @@ NAMES: list[tuple[str, str, str]] = [
     ("artistic", "artistic", r"(?:perl )?artistic licen[sc]e "),
     ("boost-1", "boost", r"boost software licen[sc]e (?:version |v )?1 (?:0 )?"),
     ("boost", "boost", r"boost software licen[sc]e "),
-    ("python-2", "python", r"(?:python|psf) (?:software foundation )?licen[sc]e (?:version |v )?2 "),
+    ("python-2", "python", r"python (?:software foundation )?licen[sc]e (?:version |v )?2 "),
+    ("python-2", "psf", r"psf licen[sc]e (?:version |v )?2 "),
     ("python", "python", r"python (?:software foundation )?licen[sc]e "),
     ("php", "php", r"php licen[sc]e "),
     ("ruby", "ruby", r"ruby licen[sc]e "),
@@ -84,10 +86,10 @@ NAMES: list[tuple[str, str, str]] = [
     ("pddl", "dedication", r"public domain dedication and licen[sc]e "),
     ("openrail", "openrail", r"(?:bigscience |creativeml )?openrail (?:m )?(?:licen[sc]e )?"),
     ("cc0", "cc0", r"cc0 (?:1 0 )?(?:universal )?"),
-    ("cc-by-nc-nd", "noderiv", r"(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s? (?:works )?"),
-    ("cc-by-nc-sa", "sharealike", r"(?:creative commons )?attribution non ?commercial share ?alike "),
+    ("cc-by-nc-nd", "deriv", r"(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s? (?:works )?"),
+    ("cc-by-nc-sa", "alike", r"(?:creative commons )?attribution non ?commercial share ?alike "),
     ("cc-by-nc", "commercial", r"(?:creative commons )?attribution non ?commercial (?!no ?deriv|share)"),
-    ("cc-by-nd", "noderiv", r"(?:creative commons )?attribution no ?deriv(?:ative)?s? "),
+    ("cc-by-nd", "deriv", r"(?:creative commons )?attribution no ?deriv(?:ative)?s? "),
     ("cc-by-sa", "alike", r"(?:creative commons )?attribution share ?alike "),
     ("cc-by", "attribution", r"creative commons attribution "),
     ("cc-by-nc-nd", "nd", r"cc by nc nd (?:[1234] [05] )?"),
