@@ -99,33 +99,39 @@ class Network:
 
         Returns for each distinct word the greatest log-odds among it and its 4-grams.
         """
-        doc = np.repeat(np.arange(len(label)), np.diff(offsets))
         base = np.array([max(1, int((label == k).sum())) for k in (0, 1)])
-
-        def odds(feature: np.ndarray, where: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-            pair = np.unique(feature * len(label) + where)
-            count = np.stack([np.bincount(pair[label[pair % len(label)] == k] // len(label), minlength=size) for k in (0, 1)])
+        lens = np.diff(x.offsets)
+        in_word, in_char = np.zeros((2, len(x.word)), np.int64), np.zeros((2, CHAR_BUCKETS), np.int64)
+        for k, a, b in zip(label.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):  # each document counts once
+            own = np.unique(codes[a:b])
+            in_word[k][own] += 1
+            per = lens[own]
+            grams = x.chars[np.repeat(x.offsets[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
+            in_char[k][np.unique(grams)] += 1
+
+        def odds(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             found = np.log((count[1] + 0.5) / (base[1] + 1)) - np.log((count[0] + 0.5) / (base[0] + 1))
             return np.where(count.sum(0) >= LEAST_DOCUMENTS, found, 0), count.sum(0)
 
-        word_odds, n = odds(codes, doc, len(x.word))
+        word_odds, n = odds(in_word)
         frequent = np.flatnonzero(n >= LEAST_DOCUMENTS)
         frequent = frequent[np.argsort(-np.abs(word_odds[frequent]), kind="stable")[:VOCABULARY]]
         self.vocabulary, first = np.unique(x.word[frequent], return_index=True)
-        lens = np.diff(x.offsets)
-        per = lens[codes]
-        flat = np.repeat(x.offsets[codes] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-        char_odds, _ = odds(x.chars[flat], np.repeat(doc, per), CHAR_BUCKETS)
+        char_odds, _ = odds(in_char)
         for table, values, at in (("E", word_odds[frequent][first], np.arange(len(first))), ("G", char_odds, np.arange(CHAR_BUCKETS))):
             width = self.p[table].shape[1]
             self.p[table][at] = (values[:, None] * (rng.standard_normal(width) * 0.25)).astype(np.float32)
         return np.maximum(word_odds, np.maximum.reduceat(char_odds[x.chars], x.offsets[:-1]))
 
     def embed(self, x: Inputs) -> np.ndarray:
-        if not len(x.word):
-            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
-        chars = np.add.reduceat(self.p["G"][x.chars], x.offsets[:-1], axis=0) / np.sqrt(np.diff(x.offsets))[:, None]
-        return np.concatenate([self.p["E"][self.rows(x.word)], chars.astype(np.float32)], axis=1)
+        out = np.empty((len(x.word), WORD_DIM + CHAR_DIM), np.float32)
+        lens = np.diff(x.offsets)
+        out[:, :WORD_DIM] = self.p["E"][self.rows(x.word)]
+        for a in range(0, len(out), 16_384):
+            b = min(a + 16_384, len(out))
+            chars = self.p["G"][x.chars[x.offsets[a] : x.offsets[b]]]
+            out[a:b, WORD_DIM:] = np.add.reduceat(chars, x.offsets[a:b] - x.offsets[a], axis=0) / np.sqrt(lens[a:b])[:, None]
+        return out
 
     def _direction(self, k: str, projected: np.ndarray, codes: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """Hidden states, steps first. codes: steps x windows; beyond a window's end the state stays as it is."""
@@ -226,6 +232,11 @@ def _steps(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return codes[np.where(mask, place, begin)], mask
 
 
+def _most(signal: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    step, mask = _steps(codes, begin, end)
+    return np.where(mask, signal[step], -9).max(0)
+
+
 def _best(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     best = np.full(n, -np.inf)
     np.maximum.at(best, text, logits)
@@ -247,8 +258,7 @@ def train(texts: list[str], label: np.ndarray, seed: int = 7) -> Network:
         return net
     x = inputs(distinct)
     signal = net.begin(x, codes, offsets, label, rng)
-    step, mask = _steps(codes, begin, end)
-    score = np.where(mask, signal[step], -9).max(0)
+    score = np.concatenate([_most(signal, codes, begin[a : a + 8192], end[a : a + 8192]) for a in range(0, len(begin), 8192)])
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     tick = 0
     for turn in range(3):
