@@ -253,3 +253,19 @@ def test_failure_changes_nothing(rows):
     with pytest.raises(ConstraintError):
         rows("INSERT INTO t VALUES (1), (1)")
     assert rows("SELECT COUNT(*) FROM t") == [(0,)]
+
+
+def test_triggers(rows):
+    rows("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER)")
+    rows("CREATE TABLE log (what TEXT, id INTEGER, old INTEGER, new INTEGER)")
+    rows("CREATE TABLE total (n INTEGER)")
+    rows("INSERT INTO total VALUES (0)")
+    rows("CREATE TRIGGER a AFTER INSERT ON t FOR EACH ROW BEGIN INSERT INTO log VALUES ('in', NEW.id, NULL, NEW.n); UPDATE total SET n = n + NEW.n; END")
+    rows("CREATE TRIGGER b AFTER UPDATE ON t WHEN (NEW.n > OLD.n) BEGIN INSERT INTO log VALUES ('up', OLD.id, OLD.n, NEW.n); END")
+    rows("CREATE TRIGGER c BEFORE DELETE ON t BEGIN INSERT INTO log VALUES ('out', OLD.id, OLD.n, NULL); END")
+    rows("INSERT INTO t VALUES (1, 10), (2, 20)")
+    rows("UPDATE t SET n = CASE id WHEN 1 THEN 11 ELSE 5 END")
+    rows("DELETE FROM t WHERE id = 2")
+    assert rows("SELECT * FROM log ORDER BY what, id") == [("in", 1, None, 10), ("in", 2, None, 20), ("out", 2, 5, None), ("up", 1, 10, 11)]
+    assert rows("SELECT n FROM total") == [(30,)]
+    rows("DROP TRIGGER a")

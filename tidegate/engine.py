@@ -31,6 +31,8 @@ from tidegate.storage import written
 
 ROW = "_row"
 HIDDEN = [ROW, CREATED, DELETED]
+#: Triggers run row by row on the driver: rows of one statement, and triggers fired by triggers, at most.
+MOST_TRIGGER_ROWS, MOST_TRIGGER_DEPTH = 1000, 16
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,7 @@ class Engine:
         self.spark = dialect_session(spark)
         json.register(self.spark)
         self.folder, self.user, self.role = folder, user, role
-        self.state, self.saved, self.variables = State(), [], {}
+        self.state, self.saved, self.variables, self.firing = State(), [], {}, 0
         self.filters: Counter = Counter()
 
     def __enter__(self) -> Engine:
@@ -387,10 +389,34 @@ class Engine:
         return search.knn(rows, i.columns[0], q, k) if k is not None else search.within(rows, i.columns[0], q, radius or 0.0)
 
     def do_create_trigger(self, s: Record) -> DataFrame:
-        """Listed only: rows are changed in sets, nothing runs for each."""
-        self.state.triggers[s.name.lower()] = s
+        if s.name.lower() in self.state.triggers and not s.quiet:
+            raise DialectError(f"{s.name} is there already")
+        self.state.triggers.setdefault(s.name.lower(), s)
         return self.affected()
 
+    def fire(self, t: Table, event: str, old: DataFrame | None, new: DataFrame | None) -> None:
+        """Run the table's triggers, one changed row after the other, by the driver: for small changes only."""
+        mine = [g for g in self.state.triggers.values() if g.table.lower() == t.name.lower() and g.event == event]
+        if not mine:
+            return
+        if self.firing >= MOST_TRIGGER_DEPTH:
+            raise DialectError("triggers fire each other without end")
+        both = {k: {r[ROW]: r.asDict() for r in df.limit(MOST_TRIGGER_ROWS + 1).collect()} if df is not None else {} for k, df in (("old", old), ("new", new))}
+        changed = list(both["new"] or both["old"])
+        if len(changed) > MOST_TRIGGER_ROWS:
+            raise DialectError(f"triggers of {t.name} fire for at most {MOST_TRIGGER_ROWS} rows of a statement")
+        self.firing += 1
+        try:
+            for g in mine:
+                for row in sorted(changed):
+                    bound = {f"{k}.{c.lower()}": value(v) for k in both for c, v in both[k].get(row, {}).items()}
+                    if g.test and not self.spark.sql(f"SELECT {self.reader(g.test, bound).expression().condition}").first()[0]:
+                        continue
+                    for statement in g.body:
+                        self.run(self.reader(statement, bound).statement())
+        finally:
+            self.firing -= 1
+
     def do_create_procedure(self, s: Record) -> DataFrame:
         if s.name.lower() in self.state.procedures and not s.quiet and not s.replace:
             raise DialectError(f"{s.name} is there already")
@@ -533,6 +559,9 @@ class Engine:
                 if t.kind == "word" and t.text.lower() in bound and self.ahead().text not in (".", "("):
                     self.take()
                     return engine.literal(bound[t.text.lower()])
+                if t.kind == "word" and self.ahead().text == "." and f"{t.text}.{self.ahead(2).text}".lower() in bound:
+                    self.at += 3
+                    return engine.literal(bound[f"{t.text}.{self.tokens[self.at - 1].text}".lower()])
                 return super().primary()
 
         out = Bound("SELECT 1", self.scope())
@@ -657,6 +686,9 @@ class Engine:
         self.store(t, after)
         final = self.state.tables[t.name.lower()]
         self.check(t, touched, temporal.live(final.rows))
+        self.fire(t, "INSERT", None, fresh)
+        if changed is not None:
+            self.fire(t, "UPDATE", old.join(changed.select(ROW), ROW, "left_semi"), updated)
         return self.returned(t, touched, s.returning)
 
     def one_of_each(self, rows: DataFrame, key: list[str], first: bool) -> DataFrame:
@@ -708,6 +740,7 @@ class Engine:
         updated = written(updated, "updated")
         self.check(t, updated, temporal.live(self.state.tables[t.name.lower()].rows))
         self.cascade(t, before, updated)
+        self.fire(t, "UPDATE", before, updated)
         return self.returned(t, updated, s.returning)
 
     def do_delete(self, s: Record) -> DataFrame:
@@ -716,6 +749,7 @@ class Engine:
         gone = written(temporal.live(t.rows).join(found, ROW, "left_semi"), "gone")
         self.store(t, self.marked(t.rows, found))
         self.cascade(t, gone, None)
+        self.fire(t, "DELETE", gone, None)
         return self.returned(t, gone, s.returning)
 
     def do_truncate(self, s: Record) -> DataFrame:
