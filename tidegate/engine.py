@@ -13,13 +13,13 @@ from collections import Counter
 from dataclasses import dataclass, field, replace
 from types import SimpleNamespace as Record
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate import types
 from tidegate.dialect.lexer import DialectError
 from tidegate.dialect.statements import StatementReader
-from tidegate.dialect.translate import Scope, Translator, literal, name, value
+from tidegate.dialect.translate import Scope, Sql, Translator, name, value
 from tidegate.functions import json
 from tidegate.operators import constraints, partitions, recursive, search, security, temporal
 from tidegate.operators.constraints import ConstraintError
@@ -551,29 +551,22 @@ class Engine:
         return result
 
     def reader(self, statement: list, bound: dict[str, str]) -> StatementReader:
-        engine = self
 
         class Bound(StatementReader):
             def primary(self):
                 t = self.now
                 if t.kind == "word" and t.text.lower() in bound and self.ahead().text not in (".", "("):
                     self.take()
-                    return engine.literal(bound[t.text.lower()])
+                    return Sql(bound[t.text.lower()], constant=True)
                 if t.kind == "word" and self.ahead().text == "." and f"{t.text}.{self.ahead(2).text}".lower() in bound:
                     self.at += 3
-                    return engine.literal(bound[f"{t.text}.{self.tokens[self.at - 1].text}".lower()])
+                    return Sql(bound[f"{t.text}.{self.tokens[self.at - 1].text}".lower()], constant=True)
                 return super().primary()
 
         out = Bound("SELECT 1", self.scope())
         out.tokens = [*statement, out.tokens[-1]]
         return out
 
-    @staticmethod
-    def literal(text: str):
-        from tidegate.dialect.translate import Sql
-
-        return Sql(text, constant=True)
-
     # changes of rows
 
     def returned(self, t: Table, rows: DataFrame, returning: str | None, n: int | None = None) -> DataFrame:
@@ -608,7 +601,7 @@ class Engine:
         columns = [t.column(c).name for c in s.columns] or t.names
         default = {c.name: c.default or "NULL" for c in t.columns}
         if s.rows is not None:
-            rows = [r for r in s.rows]
+            rows = s.rows
             if rows == [[]]:
                 columns = []
             if any(len(r) != len(columns) for r in rows):
@@ -634,8 +627,6 @@ class Engine:
                     if s.rows is not None:
                         out = out.withColumn(c.name, F.coalesce(F.col(c.name), F.col("_pos") + 1 + top))
                     else:  # places of one insertion, numbered within each task's share
-                        from pyspark.sql import Window
-
                         out = written(out, "new")
                         share = F.shiftright("_pos", 33)
                         counts = out.groupBy(share.alias("_share")).agg(F.count("*").alias("_n"))
@@ -672,7 +663,8 @@ class Engine:
             pairs = f"(SELECT {', '.join(name(c) + ' AS ' + name('_x_' + c) for c in plain)} FROM {n})"
             sets = sets.replace("`excluded`.`", "`excluded`.`_x_")
             where = f" AND {s.where.replace('`excluded`.`', '`excluded`.`_x_')}" if s.where else ""
-            changed = written(self.spark.sql(f"SELECT {name(t.name)}.{ROW}, {sets} FROM {o} AS {name(s.alias or t.name)} JOIN {pairs} AS excluded ON {name(s.alias or t.name)}._pos = excluded._x__pos{where}".replace(f"SELECT {name(t.name)}.{ROW}", f"SELECT {name(s.alias or t.name)}.{ROW}")), "changed")
+            me = name(s.alias or t.name)
+            changed = written(self.spark.sql(f"SELECT {me}.{ROW}, {sets} FROM {o} AS {me} JOIN {pairs} AS excluded ON {me}._pos = excluded._x__pos{where}"), "changed")
             new = new.join(gone.select("_pos").distinct(), "_pos", "left_anti")
         fresh = self.stamped(new.drop("_pos").select(*[F.col(f"`{c}`") for c in t.names]))
         fresh = written(fresh, "fresh")
@@ -723,8 +715,6 @@ class Engine:
         me = name(s.alias or t.name)
         view = self.shown(f"_target_{t.name.lower()}", rows)
         where = f" WHERE {s.where}" if s.where else ""
-        if "SELECT" in select:  # a row's new values may need subqueries, which want the WHERE clause applied first
-            where = where
         found = self.spark.sql(f"SELECT {me}.{ROW}{select} FROM {view} AS {me}{s.joins}{where}")
         return written(found.dropDuplicates([ROW]), "hits")
 
@@ -798,7 +788,3 @@ def partition_of(t: Table) -> DataFrame:
     """The table's live rows with the partition that each belongs to."""
     p = t.partition
     return temporal.live(t.rows).select(*t.names, partitions.route(p.column, p.how, p.bounds, p.n).alias("partition_name"))
-
-
-def text(x: str) -> str:
-    return literal(x)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.engine import Engine
-from tidegate.functions import aggregates, call
-from tidegate.operators import joins, partitions, recursive, search, security, setops, sort, temporal, windows
+from tidegate.functions import call
+from tidegate.operators import joins, partitions, recursive, search, setops, sort, temporal, windows
 from tidegate.sources import parquet
 from tidegate.streaming import windows as streams
 
@@ -325,7 +325,6 @@ _script("time_travel", ["CREATE TABLE n AS SELECT n_nationkey FROM nation", "SEL
 def time_travel_versions(spark, sf_dir):
     """Versions as columns: made at the order's date, a third of them deleted 100 days later."""
     (orders,) = _t(spark, sf_dir, "orders")
-    made = F.expr("unix_timestamp(cast(o_orderdate AS timestamp))")
     made = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour("o_orderdate") * 3600 + F.minute("o_orderdate") * 60 + F.second("o_orderdate")
     versions = orders.select("o_orderkey", made.alias("_created_at")).withColumn("_deleted_at", F.when(F.col("o_orderkey") % 3 == 0, F.col("_created_at") + 86400 * 100).otherwise(F.lit(0)).cast("long"))
     return temporal.as_of(versions, temporal.seconds("1997-01-01")).select("o_orderkey")
