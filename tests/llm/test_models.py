@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tests.llm.conftest import SF, TEXTS
+from tests.llm.conftest import TEXTS
 from tidegate.llm import langid, queries, toxicity
 
 MEDIUM = "/root/testdata/sf0.01"
