@@ -269,3 +269,25 @@ def test_triggers(rows):
     assert rows("SELECT * FROM log ORDER BY what, id") == [("in", 1, None, 10), ("in", 2, None, 20), ("out", 2, 5, None), ("up", 1, 10, 11)]
     assert rows("SELECT n FROM total") == [(30,)]
     rows("DROP TRIGGER a")
+
+
+def test_instead_of(rows):
+    rows("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER)")
+    rows("CREATE VIEW v AS SELECT id, n * 10 AS tens FROM t")
+    with pytest.raises(DialectError):
+        rows("INSERT INTO v VALUES (1, 10)")
+    rows("CREATE TRIGGER a INSTEAD OF INSERT ON v BEGIN INSERT INTO t VALUES (NEW.id, NEW.tens / 10); END")
+    rows("CREATE TRIGGER b INSTEAD OF UPDATE ON v BEGIN UPDATE t SET n = NEW.tens / 10 WHERE id = OLD.id; END")
+    rows("CREATE TRIGGER c INSTEAD OF DELETE ON v BEGIN DELETE FROM t WHERE id = OLD.id; END")
+    assert rows("INSERT INTO v (id, tens) VALUES (1, 10), (2, 20)") == [(2,)]
+    rows("UPDATE v SET tens = tens + 50 WHERE id = 2")
+    rows("DELETE FROM v WHERE tens = 10")
+    assert rows("SELECT * FROM t") == [(2, 7)]
+
+
+def test_distinct_by_hidden_order_and_collate(rows):
+    rows("CREATE TABLE t (a INTEGER, b TEXT COLLATE NOCASE)")
+    rows("INSERT INTO t VALUES (1, 'z'), (2, 'y'), (1, 'a'), (3, 'x')")
+    assert rows("SELECT DISTINCT a FROM t ORDER BY b COLLATE NOCASE") == [(1,), (3,), (2,)]
+    assert rows("SELECT DISTINCT a FROM t ORDER BY b DESC") == [(1,), (2,), (3,)]
+    assert rows("SELECT COUNT(*) FROM t AS OF SYSTEM TIME CURRENT_TIMESTAMP") == [(4,)]

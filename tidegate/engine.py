@@ -417,6 +417,24 @@ class Engine:
         finally:
             self.firing -= 1
 
+    def instead(self, s: Record) -> DataFrame:
+        """A change of a view's rows: its INSTEAD OF triggers run for each of them."""
+        event = s.kind.upper()
+        if not any(g.table.lower() == s.table.lower() and g.event == event and g.when == "INSTEAD" for g in self.state.triggers.values()):
+            raise DialectError(f"{s.table} is a view without an INSTEAD OF {event} trigger")
+        rows = self.spark.sql(f"SELECT * FROM {self.resolve(s.table)}")
+        columns = tuple(Record(name=f.name, type=types.dialect_type(f.dataType), not_null=False, default=None, auto=False, dims=0) for f in rows.schema.fields)
+        t = Table(s.table, columns, written(self.stamped(rows)), kind="view")
+        if event == "INSERT":
+            old, new = None, written(self.stamped(self.new_rows(t, s).drop("_pos")))
+        else:
+            select = "".join(f", ({x}) AS {name('_set_' + t.column(c).name)}" for c, x in getattr(s, "sets", []))
+            found = self.hits(t, s, select, event)
+            old = written(t.rows.join(found.select(ROW), ROW, "left_semi"))
+            new = written(self.with_changes(t, t.rows, found, [t.column(c).name for c, _ in s.sets])[1]) if event == "UPDATE" else None
+        self.fire(t, event, old, new)
+        return self.returned(t, old if new is None else new, s.returning)
+
     def do_create_procedure(self, s: Record) -> DataFrame:
         if s.name.lower() in self.state.procedures and not s.quiet and not s.replace:
             raise DialectError(f"{s.name} is there already")
@@ -636,6 +654,8 @@ class Engine:
         return written(out, "new")
 
     def do_insert(self, s: Record) -> DataFrame:
+        if s.table.lower() in self.state.views:
+            return self.instead(s)
         t = self.table(s.table)
         new = self.new_rows(t, s)
         old = temporal.live(t.rows)
@@ -719,6 +739,8 @@ class Engine:
         return written(found.dropDuplicates([ROW]), "hits")
 
     def do_update(self, s: Record) -> DataFrame:
+        if s.table.lower() in self.state.views:
+            return self.instead(s)
         t = self.table(s.table)
         columns = [t.column(c).name for c, _ in s.sets]
         select = "".join(f", ({x}) AS {name('_set_' + c)}" for c, (_, x) in zip(columns, s.sets))
@@ -734,6 +756,8 @@ class Engine:
         return self.returned(t, updated, s.returning)
 
     def do_delete(self, s: Record) -> DataFrame:
+        if s.table.lower() in self.state.views:
+            return self.instead(s)
         t = self.table(s.table)
         found = self.hits(t, s, "", "DELETE")
         gone = written(temporal.live(t.rows).join(found, ROW, "left_semi"), "gone")
@@ -743,7 +767,7 @@ class Engine:
         return self.returned(t, gone, s.returning)
 
     def do_truncate(self, s: Record) -> DataFrame:
-        return self.do_delete(Record(table=s.table, alias="", joins="", where="", returning=None))
+        return self.do_delete(Record(kind="delete", table=s.table, alias="", joins="", where="", returning=None))
 
     def cascade(self, t: Table, before: DataFrame, after: DataFrame | None, depth: int = 0) -> None:
         """What foreign keys demand once rows are gone (after is None) or have other keys: one join for each child table."""
