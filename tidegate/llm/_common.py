@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import chain
 from unicodedata import is_normalized
 
@@ -15,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on; bounds a worker's memory.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 #: Words that a worker keeps encoded. A full cache is emptied, so memory is bounded.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 def settings(spark: SparkSession) -> None:
-    """Arrow batches are bounded by their bytes: a batch of very long texts has few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Arrow batches are bounded by their bytes: small ones, since the JVM keeps the buffers that it has used."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
@@ -61,15 +63,37 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about SLICE_CHARS bytes of text; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
-        text = batch.column(column)
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             done = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE_CHARS, side="right")))
-            yield batch.slice(at, to - at)
+            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE_CHARS - total, side="right")))
+            held.append(batch.slice(at, to - at))
+            total += int(sizes[to - 1] - done)
+            if total >= SLICE_CHARS or to < batch.num_rows:
+                yield _whole(held)
+                held, total = [], 0
             at = to
+    if held:
+        yield _whole(held)
+    give_back()
+
+
+def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(held) == 1:
+        return held[0]
+    table = pa.Table.from_batches(held).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], schema=table.schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -77,7 +101,7 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     split = pc.ascii_split_whitespace(pc.cast(text, pa.large_string()))
     coded = pc.dictionary_encode(split.flatten())
     offsets = split.offsets.to_numpy().astype(np.int64)
-    codes = coded.indices.to_numpy().astype(np.int64)
+    codes = coded.indices.to_numpy()
     distinct = coded.dictionary
     # the splitter gives empty words where a text begins or ends in white space
     empty = pc.index(distinct, pa.scalar("", pa.large_string())).as_py()
@@ -115,8 +139,8 @@ class WordEncoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.int32)
-        self.starts = np.zeros(CACHE_WORDS, np.int64)
-        self.lens = np.zeros(CACHE_WORDS, np.int64)
+        self.starts = np.zeros(CACHE_WORDS, np.int32)
+        self.lens = np.zeros(CACHE_WORDS, np.int32)
         self.used = 0
 
     def plain(self, word: str) -> list[int] | None:
@@ -152,7 +176,7 @@ class WordEncoder:
         if len(self.known) + len(distinct) > len(self.starts):
             self.clear()
             if len(distinct) > len(self.starts):
-                self.starts, self.lens = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+                self.starts, self.lens = np.zeros(len(distinct), np.int32), np.zeros(len(distinct), np.int32)
         known = self.known
         new = [w for w in distinct if w not in known]
         if new:
@@ -166,18 +190,19 @@ class WordEncoder:
             self.lens[n : n + len(new)] = lens
             self.used += total
             known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        return np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and each text's offsets in it."""
         if not pc.any(pc.match_substring(text, "<|")).as_py():
             text = pc.ascii_lower(text)  # the normalizer does so too; fewer distinct words. Special tokens' strings keep their case
         offsets, codes, distinct = words(text)
-        place = self.places(distinct.to_pylist())[codes] if len(codes) else np.zeros(0, np.int64)
+        place = self.places(distinct.to_pylist())[codes] if len(codes) else np.zeros(0, np.int32)
         lens = self.lens[place]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.starts[place] - ends[:-1], lens) + np.arange(ends[-1])]
-        return ids, ends[offsets]
+        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int32)])
+        at = np.repeat(self.starts[place] - ends[:-1].astype(np.int32), lens)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], ends[offsets]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
