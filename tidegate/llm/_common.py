@@ -7,7 +7,6 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -17,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on; bounds a worker's memory.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 4_000_000
 #: Words that a worker keeps encoded. A full cache is emptied, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def settings(spark: SparkSession) -> None:
@@ -123,7 +122,7 @@ class WordEncoder:
 
     Exact for tokenizers whose pre-tokenizer drops white space, matches nothing across it and takes letters and other
     characters apart, as that of word_bpe_49k.json: then the ids of a text are the ids of its words, one after
-    another. Words of lower-case Latin letters, which the normalizer leaves as they are, go straight to the model;
+    another. Words of Latin letters, of which the normalizer makes nothing but lower case, go straight to the model;
     those with a comma or a full stop behind them are their ids and that of the mark; others take the whole way.
     """
 
@@ -143,33 +142,38 @@ class WordEncoder:
         self.lens = np.zeros(CACHE_WORDS, np.int32)
         self.used = 0
 
-    def plain(self, word: str) -> list[int] | None:
-        """The ids of a word of lower-case Latin letters; None for any other word."""
-        if not word.isalpha() or max(word) >= "\u0250" or word.lower() != word or not is_normalized("NFC", word):
-            return None
-        return [x.id for x in self.model.tokenize(word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode())))]
-
-    def fresh(self, new: list[str]) -> list[list[int]]:
-        """The ids of words that are not known yet."""
-        out: list = [None] * len(new)
-        rest = []
-        for i, word in enumerate(new):
-            mark = self.marks.get(word[-1:])
-            if mark and len(word) > 1:
-                base = word[:-1]
-                at = self.known.get(base)
-                if at is not None and base.isalpha():
-                    out[i] = self.flat[self.starts[at] : self.starts[at] + self.lens[at]].tolist() + mark
-                elif (ids := self.plain(base)) is not None:
-                    out[i] = ids + mark
-            elif word:
-                out[i] = self.plain(word)
-            if out[i] is None:
-                rest.append(i)
+    def fresh(self, new: list[str]) -> tuple[list[str], list[int], list[int]]:
+        """The new words in some order, their ids one after another, and how many each has."""
+        words, flat, lens, rest = [], [], [], []
+        known, starts, lengths, store, tokenize, marks = self.known, self.starts, self.lens, self.flat, self.model.tokenize, self.marks
+        for word in new:
+            mark = marks.get(word[-1:])
+            base = word[:-1] if mark else word
+            if mark and base in known and base.isalpha():
+                at = known[base]
+                ids = store[starts[at] : starts[at] + lengths[at]].tolist()
+            elif not base.isalpha():
+                rest.append(word)
+                continue
+            elif base.isascii() and base.islower():
+                ids = [x.id for x in tokenize(base)]
+            elif max(base) < "\u0250" and "\u0130" not in base and is_normalized("NFC", base):  # of these, one letter's lower case is two
+                ids = [x.id for x in tokenize("".join(map(_BYTES.__getitem__, base.lower().encode())))]
+            else:
+                rest.append(word)
+                continue
+            if mark:
+                ids += mark
+            words.append(word)
+            flat += ids
+            lens.append(len(ids))
         if rest:
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
-                out[i] = e.ids
-        return out
+            for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                ids = e.ids
+                words.append(word)
+                flat += ids
+                lens.append(len(ids))
+        return words, flat, lens
 
     def places(self, distinct: list[str]) -> np.ndarray:
         """Where the words' ids are; encodes the new ones."""
@@ -180,16 +184,16 @@ class WordEncoder:
         known = self.known
         new = [w for w in distinct if w not in known]
         if new:
-            ids = self.fresh(new)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(lens.sum()), len(known)
+            words, flat, lens = self.fresh(new)
+            total, n = len(flat), len(known)
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.int32)])
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-            self.starts[n : n + len(new)] = self.used + np.cumsum(lens) - lens
+            self.flat[self.used : self.used + total] = flat
+            lens = np.array(lens, np.int32)
+            self.starts[n : n + len(new)] = self.used + np.cumsum(lens, dtype=np.int32) - lens
             self.lens[n : n + len(new)] = lens
             self.used += total
-            known.update(zip(new, range(n, n + len(new))))
+            known.update(zip(words, range(n, n + len(new))))
         return np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -199,10 +203,11 @@ class WordEncoder:
         offsets, codes, distinct = words(text)
         place = self.places(distinct.to_pylist())[codes] if len(codes) else np.zeros(0, np.int32)
         lens = self.lens[place]
-        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int32)])
-        at = np.repeat(self.starts[place] - ends[:-1].astype(np.int32), lens)
+        ends = np.zeros(len(lens) + 1, np.int32)
+        np.cumsum(lens, out=ends[1:])
+        at = np.repeat(self.starts[place] - ends[:-1], lens)
         at += np.arange(len(at), dtype=np.int32)
-        return self.flat[at], ends[offsets]
+        return self.flat[at], ends[offsets].astype(np.int64)
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
