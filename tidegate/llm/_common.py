@@ -45,14 +45,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a written table of the shared folder: its lineage ends there, and lost executors cost nothing."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path by Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, by Spark's own file systems."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:

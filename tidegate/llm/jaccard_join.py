@@ -137,8 +137,11 @@ def _tables(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     schema = "key long, n long, set array<long>, bits binary"
     sets = C.written(again.mapInArrow(whole, schema), "whole")
     if sets.count() != sets.select("key").distinct().count():  # rows that repeat an id and its text
-        sets = C.written(sets.dropDuplicates(["key"]), "whole")
-    return rows.select("doc_id", "n", "key"), sets
+        repeated, sets = sets, C.written(sets.dropDuplicates(["key"]), "whole")
+        C.forget(repeated)
+    few = C.written(rows.select("doc_id", "n", "key"), "classes")
+    C.forget(rows, left)
+    return few, sets
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -260,7 +263,7 @@ def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key in links (x, y): root is the least key of its connected component.
 
     Alternating large and small stars: each round a few joins, a number of rounds that grows with the logarithm of
-    the component's size. Every round is a written table.
+    the component's size. Every round, and the result, is a written table.
     """
     edges = C.written(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u != v").distinct(), "edges")
     state = None
@@ -270,12 +273,16 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = C.written(small.filter("u != v").distinct(), "edges")
+        before, edges = edges, C.written(small.filter("u != v").distinct(), "edges")
+        C.forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    found = edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    out = C.written(found, "roots")
+    C.forget(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -289,10 +296,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
     rows, sets = _tables(docs, k, num, den)
     prefixes = C.written(_prefixes(sets, num, den), "prefixes")
     by_hub = C.written(_hub_links(prefixes, sets, num, den), "links")
-    roots = C.written(components(by_hub), "roots")
+    roots = components(by_hub)
     others = C.written(_other_links(prefixes, roots, sets, num, den), "links")
     if others.take(1):
-        roots = components(roots.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(others))
+        star, roots = roots, components(roots.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(others))
+        C.forget(star)
+    C.forget(sets, prefixes, by_hub, others)
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     joined = roots.join(classes, "key").select("key", "root", "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
