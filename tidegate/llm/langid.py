@@ -20,6 +20,8 @@ from tidegate.llm import _common as C
 
 #: Labelled documents that a language's n-grams are learned from, in expectation: the bound of the sample.
 TRAIN_PER_LANGUAGE = 1000
+#: Languages that are learned, the most frequent labels first: the bound of the model.
+MOST_LANGUAGES = 256
 #: Longer labelled texts are not drawn into the sample; every text is identified whole.
 TRAIN_CHARS = 50_000
 #: Hashed n-grams of bytes, and what is added to each count.
@@ -139,7 +141,7 @@ def held_out() -> Column:
 def fit(docs: DataFrame) -> Model:
     """Learn each language's n-grams from a sample of labelled texts of at most TRAIN_CHARS, drawn by a hash of doc_id."""
     known = C.documents(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") <= TRAIN_CHARS))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, TRAIN_PER_LANGUAGE / n)))])
