@@ -79,9 +79,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, user: str | None = None, role: str | None = None):
         self.spark = dialect_session(spark)
-        json.register(self.spark)
         self.folder, self.user, self.role = folder, user, role
-        self.state, self.saved, self.variables, self.firing = State(), [], {}, 0
+        self.state, self.saved, self.variables, self.firing, self.json = State(), [], {}, 0, False
         self.filters: Counter = Counter()
 
     def __enter__(self) -> Engine:
@@ -100,6 +99,9 @@ class Engine:
     def sql(self, text: str, args: list | None = None) -> DataFrame:
         """Run one statement; ? stands for the next of args. Changes return rows_affected, or what RETURNING asks."""
         before = self.state.copy()
+        if not self.json and "json_" in text.lower():  # the functions in Python are made known when they may be needed
+            json.register(self.spark)
+            self.json = True
         try:
             return self.run(StatementReader(text, self.scope(args)).statement())
         except Exception:
