@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -76,6 +77,29 @@ def test_license_suppression(spark):
     assert len(license_scan.rules()) > 200
 
 
+def every_detection(text):
+    """(priority, first word, end word, label, confidence) of every rule's matches, by Python's expressions."""
+    norm = " ".join(LICENSE_WORD.findall(text.translate(UPPER))) + " "
+    found = set()
+    for r in license_scan.rules():
+        for m in re.finditer(r.pattern, norm) if r.keyword in norm else ():
+            found.add((r.priority, norm.count(" ", 0, m.start()), norm.count(" ", 0, m.end()), r.label, r.confidence))
+    return sorted(found)
+
+
+def test_license_suppression_in_long_texts(spark):
+    """Beyond some 5,000 detections too only better or longer ones suppress, and only what they contain: against all pairs."""
+    lines = ["the zlib license.", "licensed under the MIT license,", "All rights reserved!", "the ISC license", "Apache License, Version 2.0", "GNU General Public License", "released under the terms of the Mozilla Public License 2.0"]
+    text = "\n".join(f"file {i}: {lines[i % len(lines)]}" for i in range(4000)) + "\nthe PHP license, last of all"
+    (r,) = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    found = every_detection(text)
+    assert len(found) > 6000
+    p, s, e = (np.array([x[k] for x in found]) for k in range(3))
+    kept = [x for x in found if x[0] == 0 or not (((s <= x[1]) & (e >= x[2])) & ((p < x[0]) | ((p == x[0]) & ((s < x[1]) | (e > x[2]))))).any()]
+    assert sorted((d["priority"], d["first_word"], d["end_word"], d["label"], d["confidence"]) for d in r["detections"]) == kept
+    assert r["labels"] == ",".join(sorted({x[3] for x in kept})) and "php" in r["labels"]
+
+
 def test_license_keywords_are_in_every_match():
     """A rule's keyword must stand in whatever its expression matches, or the gate would lose detections."""
     for r in license_scan.rules():

@@ -177,7 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
         o -> named_struct('s', o.s, 'e', -o.e, 'p', h.r.p, 'label', h.r.label, 'c', h.r.c))))"""
     rows = rows.withColumn("found", F.expr(f"sort_array(array_distinct({places}))"))
     # what contains a detection stands before it in this order, and begins at most MOST_WORDS words before it
-    inside = f"exists(slice(found, greatest(1, i + 1 - {MOST_WORDS * MOST_WORDS * 5}), i), y -> y.e <= x.e AND (y.p < x.p OR (y.p = x.p AND (y.s < x.s OR y.e < x.e))))"
+    inside = f"exists(slice(found, greatest(1, i + 1 - {MOST_WORDS * MOST_WORDS * 5}), least(i, {MOST_WORDS * MOST_WORDS * 5})), y -> y.e <= x.e AND (y.p < x.p OR (y.p = x.p AND (y.s < x.s OR y.e < x.e))))"
     better = f"exists(slice(found, i + 2, {MOST_WORDS * 5}), y -> y.s = x.s AND y.e = x.e AND y.p < x.p)"
     rows = rows.withColumn("kept", F.expr(f"coalesce(filter(found, (x, i) -> x.p = 0 OR NOT (i > 0 AND {inside} OR {better})), array())"))
     rows = rows.withColumn("base", F.expr("filter(kept, x -> x.p = 0)"))
