@@ -58,3 +58,10 @@ def test_top_k_and_pushdown(spark):
     plan = queries.queries()["flagship_revenue_by_nation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan
     assert "TakeOrderedAndProject" in plan and "l_comment" not in plan and "l_tax" not in plan
+
+
+def test_knn_join_answers_every_query(spark):
+    """Each id divisible by 20 has its three nearest, by brute force."""
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    want = {(q, v, i + 1) for q in rows if q % 20 == 0 for i, (_, v) in enumerate(sorted((math.dist(rows[q], x), v) for v, x in rows.items())[:3])}
+    assert {tuple(r) for r in queries.queries()["vector_knn_join"](spark, SF).collect()} == want and len(want) == 75

@@ -277,11 +277,11 @@ _dialect("vector_metrics", f"SELECT vec_id, ROUND(COSINE_SIMILARITY(embedding, {
          f"SELECT vec_id, round(list_cosine_similarity({_V}, {_QS}::DOUBLE[]), 6) AS c, round(list_distance({_V}, {_QS}::DOUBLE[]), 6) AS l, round(list_inner_product({_V}, {_QS}::DOUBLE[]), 5) AS i, true AS mismatch FROM embeddings")
 
 
-@_frame(f"SELECT q.vec_id AS q, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), e.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 3")
+@_frame(f"SELECT q.vec_id AS q, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), e.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 3")
 def vector_knn_join(spark, sf_dir):
     """A stated set of queries against all rows."""
     (e,) = _t(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding")
     return search.knn_join(queries, e, "q", "embedding", "vec_id", "embedding", 3).select("q", "vec_id", "rank")
 
 
