@@ -65,3 +65,25 @@ def test_knn_join_answers_every_query(spark):
     rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     want = {(q, v, i + 1) for q in rows if q % 20 == 0 for i, (_, v) in enumerate(sorted((math.dist(rows[q], x), v) for v, x in rows.items())[:3])}
     assert {tuple(r) for r in queries.queries()["vector_knn_join"](spark, SF).collect()} == want and len(want) == 75
+
+
+def test_reachability_over_all_orders(spark):
+    """Customers reached through any consecutive orders, by a search in Python."""
+    customer = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    after = {}
+    for k, c in customer.items():
+        after.setdefault(c, set()).update({customer[k + 1]} if k + 1 in customer else ())
+    want, todo = set(), [customer[1]]
+    while todo:
+        c = todo.pop()
+        if c not in want:
+            want.add(c)
+            todo += after[c]
+    got = [r["a"] for r in queries.queries()["recursive_reachability"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_reachability_of_many_customers(spark, tmp_path):
+    """More customers than a statement's recursion may make rows: one with every odd order reaches all others."""
+    spark.range(1, 220_001).selectExpr("id AS o_orderkey", "if(id % 2 = 1, 1, id) AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert queries.queries()["recursive_reachability"](spark, str(tmp_path)).count() == 110_001

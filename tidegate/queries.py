@@ -206,12 +206,12 @@ def set_operation_chain(spark, sf_dir):
     return setops.chain(nation.select(F.col("n_nationkey").alias("k")), ("EXCEPT", supplier.filter("s_suppkey < 6").select("s_nationkey")), ("UNION ALL", region.select("r_regionkey")))
 
 
-@_frame("WITH RECURSIVE r(a) AS (SELECT o_custkey FROM orders WHERE o_orderkey = 1 UNION SELECT o2.o_custkey FROM r JOIN orders o1 ON o1.o_custkey = r.a JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1 WHERE o1.o_orderkey < 200) SELECT a FROM r")
+@_frame("WITH RECURSIVE r(a) AS (SELECT o_custkey FROM orders WHERE o_orderkey = 1 UNION SELECT o2.o_custkey FROM r JOIN orders o1 ON o1.o_custkey = r.a JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1) SELECT a FROM r")
 def recursive_reachability(spark, sf_dir):
     """Customers reached through consecutive orders: a fixed point over a cyclic graph."""
     (orders,) = _t(spark, sf_dir, "orders")
-    edges = orders.filter("o_orderkey < 200").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1).alias("o_orderkey")).join(orders, "o_orderkey").select("a", F.col("o_custkey").alias("b"))
-    return recursive.fixpoint(orders.filter("o_orderkey = 1").select(F.col("o_custkey").alias("a")), lambda r: r.join(edges, "a").select(F.col("b").alias("a")))
+    edges = orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1).alias("o_orderkey")).join(orders, "o_orderkey").select("a", F.col("o_custkey").alias("b"))
+    return recursive.fixpoint(orders.filter("o_orderkey = 1").select(F.col("o_custkey").alias("a")), lambda r: r.join(edges, "a").select(F.col("b").alias("a")), rows=None)  # no more rows than customers
 
 
 @_frame("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
