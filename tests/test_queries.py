@@ -87,3 +87,8 @@ def test_reachability_of_many_customers(spark, tmp_path):
     """More customers than a statement's recursion may make rows: one with every odd order reaches all others."""
     spark.range(1, 220_001).selectExpr("id AS o_orderkey", "if(id % 2 = 1, 1, id) AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
     assert queries.queries()["recursive_reachability"](spark, str(tmp_path)).count() == 110_001
+
+
+@pytest.mark.parametrize("name, table", [("arithmetic", "lineitem"), ("correlated_subquery", "customer")])
+def test_every_row_is_computed(spark, duck, name, table):
+    assert queries.queries()[name](spark, SF).count() == duck.execute(f"SELECT COUNT(*) FROM {table}").fetchone()[0]
