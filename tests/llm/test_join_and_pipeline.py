@@ -74,6 +74,14 @@ def test_groups_of_copies(spark, k, num, den, block, monkeypatch):
     same(jaccard_join.near_duplicates(df, k, (num, den)).collect(), brute_components(docs, k, num, den))
 
 
+def test_small_sets(spark):
+    """Sets that share one to three shingles at a low threshold, in many small groups."""
+    rng = random.Random(1)
+    docs = [(5 * g + i, " ".join(rng.sample([f"g{g}w{j}" for j in range(9)], rng.randint(2, 5)))) for g in range(150) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    same(jaccard_join.near_duplicates(df, 1, (1, 2)).collect(), brute_components(docs, 1, 1, 2))
+
+
 def test_odd(odd, empty):
     same(jaccard_join.near_duplicates(odd, 3, (9, 10)).collect(), brute_components(TEXTS, 3, 9, 10))
     assert jaccard_join.near_duplicates(empty).collect() == []

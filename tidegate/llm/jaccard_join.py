@@ -159,7 +159,8 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     # estimated cost of l: its lists' lengths, and the verification of at most an l-th as many candidates
     total = "aggregate(slice(s, 1, cast(greatest(0, e + {0} - own) as int)), 0L, (a, x) -> a + x.df)"
     costs = [f"named_struct('c', {total.format(j)} * (1 + {VERIFY_COST} / {j}D), 'l', {j})" for j in range(1, MOST_MATCHES + 1)]
-    rows = rows.withColumn("l", F.expr(f"array_min(array({', '.join(costs)})).l"))
+    # linked sets share n - e shingles at least, and may share no more: l is bounded by that
+    rows = rows.withColumn("l", F.expr(f"array_min(filter(array({', '.join(costs)}), x -> x.l <= n - e)).l"))
     rows = rows.select("key", "n", "own", "l", "e", F.posexplode("s").alias("i", "x")).withColumn("level", F.greatest(F.lit(1), F.col("own") + F.col("i") + 1 - F.col("e")).cast("int"))
     return rows.filter("level <= l").select(F.col("x.token").alias("token"), "key", "n", "own", "l", "level")
 
