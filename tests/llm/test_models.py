@@ -60,6 +60,18 @@ def test_language_odd(odd, empty, table):
     assert langid.keep_identified(empty).collect() == []
 
 
+def test_language_of_long_texts_only(spark):
+    """A label whose labelled texts are all longer than the sample takes is learned and predicted too."""
+    short, long = "the house stands by the river and the road", "zuq xoqa wyxu qazo vuqy"
+    rows = [(i, f"{short} {i}", "aa") for i in range(20)] + [(100 + i, f"{long} " * (langid.TRAIN_CHARS // len(long) + 1), "bb") for i in range(9)]
+    rows += [(200, f"{short} again", None), (201, f"{long} {long}", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > langid.TRAIN_CHARS for _, t, x in rows if x == "bb")
+    assert langid.fit(df).languages == ["aa", "bb"]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert found == {i: "aa" if i < 100 or i == 200 else "bb" for i, _, _ in rows}
+
+
 def test_toxicity(spark, table):
     found = {r["doc_id"]: r for r in queries.op5_toxicity(spark, MEDIUM).collect()}
     label = {r["doc_id"]: r["toxic"] for r in table("labels", MEDIUM).collect()}

@@ -22,7 +22,8 @@ from tidegate.llm import _common as C
 TRAIN_PER_LANGUAGE = 1000
 #: Languages that are learned, the most frequent labels first: the bound of the model.
 MOST_LANGUAGES = 256
-#: Longer labelled texts are not drawn into the sample; every text is identified whole.
+#: Longer labelled texts are not drawn into the sample, but for the beginnings of those whose language has no shorter one; every
+#: text is identified whole.
 TRAIN_CHARS = 50_000
 #: Hashed n-grams of bytes, and what is added to each count.
 BUCKETS, SMOOTH = 1 << 16, 0.05
@@ -139,14 +140,20 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn each language's n-grams from a sample of labelled texts of at most TRAIN_CHARS, drawn by a hash of doc_id."""
-    known = C.documents(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") <= TRAIN_CHARS))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    """Learn each language's n-grams from a sample of labelled texts of at most TRAIN_CHARS, drawn by a hash of doc_id.
+
+    A language that has longer texts only is learned from the first TRAIN_CHARS of a sample of these.
+    """
+    known = C.documents(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    short = F.length("text") <= TRAIN_CHARS
+    each = known.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("every")).withColumn("n", F.expr("if(short > 0, short, every)"))
+    each = each.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts, long = {r["lang"]: r["n"] for r in each}, [r["lang"] for r in each if not r["short"]]
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, TRAIN_PER_LANGUAGE / n)))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    rows = known.filter(draw).select("text", "lang").collect()
+    rows = known.filter(draw & (short | F.col("lang").isin(long) if long else short)).select(F.substring("text", 1, TRAIN_CHARS), "lang").collect()
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
