@@ -6,11 +6,14 @@ import random
 from collections import defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import SF, TEXTS
 from tests.llm.test_scans import UPPER, WORD, brute_distance
 from tests.llm.test_tokens import check_packing
+from tidegate.llm import _common as C
 from tidegate.llm import decontaminate, jaccard_join, langid, queries, secret_scan
 
 
@@ -42,6 +45,59 @@ def brute_components(docs, k, num, den):
     return [(d, len(s), min(least[find(i)], default=None)) for i, ((d, _), s) in enumerate(zip(docs, sets))]
 
 
+def brute_kept(docs, k, num, den):
+    """The (doc_id, text) that stay, row by row."""
+    docs = [(d, t or "") for d, t in docs]
+    hashed = [xxhash.xxh64_intdigest(t, seed=42) for _, t in docs]
+    sets = [shingles(t, k) for _, t in docs]
+    group = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    order = lambda i: (docs[i][0] is None, docs[i][0] or 0, hashed[i] - (hashed[i] >> 63 << 64))
+    first = {g: min((i for i in range(len(docs)) if group[i] == g), key=order) for g in set(group)}
+    kept = [(d, t) for i, (d, t) in enumerate(docs) if not sets[i] or order(i) == order(first[group[i]])]
+    return [x for i, x in enumerate(kept) if (x[0] is None and not shingles(x[1], k)) or x not in kept[:i]]
+
+
+def test_one_row_of_each(spark):
+    """Ids that occur with several texts, chains through them, rows without an id, repeated rows."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(1, "a b c d e f"), (2, "a b c d e f"), (1, "g h i j k l"), (0, "g h i j k l"), (None, "m n o p q r"), (None, "m n o p q r"), (None, ""), (None, None), (7, ""), (7, ""), (8, "s t u v w x"), (8, "s t u v w x"), (None, "s t u v w x"), (9, "y z"), (9, "z y")]
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(5, 60))
+        for _ in range(rng.randint(1, 5)):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+            docs.append((rng.choice([None, *range(20, 40)]), " ".join(copy)))
+            docs += [docs[-1]] * rng.choice([0, 0, 1])
+    df = spark.createDataFrame([(*d, "x", i) for i, d in enumerate(docs)], "doc_id long, text string, jid string, th int").repartition(5)
+    kept = jaccard_join.one_of_each(df, 3, (4, 5))
+    assert kept.columns == df.columns
+    same([(r["doc_id"], r["text"] or "") for r in kept.collect()], brute_kept(docs, 3, 4, 5))
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, SF)
+    same([(r["doc_id"], r["text"] or "") for r in stage.collect()], brute_kept(docs, 5, 4, 5))
+
+
+def test_hot_keys(spark, monkeypatch):
+    """A class with a third of the rows, and keys that are dealt into many parts."""
+    monkeypatch.setattr(C, "HOT_KEYS", 1_000_000)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=50)
+    docs = [(i, " ".join(base)) for i in range(400)] + [(400 + i, " ".join([*base[:i], "zz", *base[i + 1 :]])) for i in range(50)]
+    docs += [(500 + i, " ".join(rng.choices(words, k=20) + base[:15])) for i in range(700)] + [(3, docs[0][1])] * 300
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    same(jaccard_join.near_duplicates(df, 3, (4, 5)).collect(), brute_components(docs, 3, 4, 5))
+    left = spark.createDataFrame([(i % 3 if i % 2 else i, i) for i in range(3000)], "key long, x long")
+    right = left.groupBy("key").agg(F.count("*").alias("n"))
+    found = C.spread_join(left, right, "key", "n", 3000, F.xxhash64("x"))
+    assert sorted(map(tuple, found.select("key", "x").collect())) == sorted(map(tuple, left.collect()))
+
+
 def same(rows, want):
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
 
@@ -50,7 +106,7 @@ def test_registered(spark, texts):
     same(queries.op7_jaccard_join(spark, SF).collect(), brute_components(texts, 3, 9, 10))
 
 
-@pytest.mark.parametrize("k, num, den, block", [(5, 4, 5, 1024), (3, 9, 10, 8), (2, 1, 2, 4)])
+@pytest.mark.parametrize("k, num, den, block", [(5, 4, 5, 1024), (3, 9, 10, 8), (2, 1, 2, 4), (1, 1, 1, 2)])
 def test_groups_of_copies(spark, k, num, den, block, monkeypatch):
     """Groups of near copies, chains of them, shared passages, and tiny blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)

@@ -12,13 +12,15 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on; bounds a worker's memory.
 SLICE_CHARS = 4_000_000
 #: Words that a worker keeps encoded. A full cache is emptied, so memory is bounded.
 CACHE_WORDS = 800_000
+#: A key is hot if it has more than this part of a join's rows: so there are fewer hot keys than this.
+HOT_KEYS = 10_000
 
 
 def settings(spark: SparkSession) -> None:
@@ -58,6 +60,21 @@ def forget(*tables: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, by: Column) -> DataFrame:
+    """left JOIN right USING (key), for keys that may be hot in left; no task gets the rows of a hot one whole.
+
+    right has one row for each key, and in n how many of left's rows have it; left has `total` rows in all. The hot
+    keys, fewer than HOT_KEYS, are broadcast with the number of parts that their rows are dealt into by `by`, which
+    must be the same whenever a row is read again; right's row goes to every part.
+    """
+    bound = max(100, total // HOT_KEYS)
+    parts = F.ceil(F.col(n) / bound)
+    hot = right.filter(F.col(n) > bound).select(key, parts.cast("long").alias("_parts"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(by, "_parts"), F.lit(0))).drop("_parts")
+    every = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > bound, parts - 1).otherwise(0).cast("long"))))
+    return dealt.join(every, [key, "_part"]).drop("_part")
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, text as a string that is never null: other columns, however named, stay out."""
     return docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) if c == "text" else docs[c] for c in columns])

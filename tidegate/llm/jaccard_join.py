@@ -12,12 +12,13 @@ and l shingles among the first e + l: the l-prefix. The steps:
    falls.
 3. Each prefix shingle names a hub, the member with the fewest shingles of its own. Members are verified against
    their hubs, which links large groups of near copies by as many pairs as there are members.
-4. Members of a prefix shingle that these links do not connect are compared in blocks of bounded size: sizes, shingles of their own,
-   and parity bitmaps bound the similarity from above. Pairs that pass, and share as many prefix shingles as the
-   shorter prefix demands, are verified on the whole sets.
+4. Members of a prefix shingle that these links do not connect are compared in blocks of bounded size, and of a long
+   list only blocks of sizes that can link: sizes, shingles of their own, and parity bitmaps bound the similarity from
+   above. Pairs that pass, and share as many prefix shingles as the shorter prefix demands, are verified on the whole sets.
 5. Connected components of the links, by alternating stars.
 
-Shingles and keys are 64-bit hashes. Nothing is capped or sampled.
+Shingles and keys are 64-bit hashes. Nothing is capped or sampled. Rows are known by their doc_id (or without one by
+their text's hash) and their text's hash. Joins whose keys may be hot are spread by _common.spread_join.
 """
 
 from __future__ import annotations
@@ -89,14 +90,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _join_id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """What a row is known by: its doc_id, or without one its text's hash, and its text's hash; a null text is empty."""
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return F.coalesce(docs["doc_id"].cast("long"), text), text
 
 
 def _tables(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Step 1: (doc_id, n, key) of every row, and (key, n, set, bits) of the classes that can have a partner."""
+    """Step 1: (doc_id, jid, th, n, key) of every row, and (key, n, set, bits) of the classes that can have a partner."""
     C.settings(docs.sparkSession)
-    text = C.documents(docs, "doc_id", "text").withColumn("jid", _join_id())
+    text = C.documents(docs, "doc_id", "text")
+    jid, th = _row_keys(text)
+    text = text.select("doc_id", "text", jid.alias("jid"), th.alias("th"))
     share = min(1.0, 2 * (1 - num / den))
     limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
 
@@ -109,23 +114,23 @@ def _tables(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
                 parts.append(found[: np.searchsorted(found, limit)].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *parts]))
-            ids = [batch.column(c).cast(pa.int64()) for c in ("doc_id", "jid")]
-            yield pa.record_batch([*ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), tokens], ["doc_id", "jid", "n", "key", "tokens"])
+            ids = [batch.column(c).cast(pa.int64()) for c in ("doc_id", "jid", "th")]
+            yield pa.record_batch([*ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), tokens], ["doc_id", "jid", "th", "n", "key", "tokens"])
 
-    rows = C.written(text.mapInArrow(first, "doc_id long, jid long, n long, key long, tokens array<long>"), "sets")
+    rows = C.written(text.mapInArrow(first, "doc_id long, jid long, th long, n long, key long, tokens array<long>"), "sets")
     some = rows.filter("n > 0")
     # a shingle is of one class alone if the least and the greatest key are the same; copies are combined on the way
     alone = some.select("key", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("key").alias("key"), F.max("key").alias("last"))
     alone = alone.filter("key = last").groupBy("key").agg(F.count("*").alias("alone"))
-    classes = some.groupBy("key").agg(F.max("n").alias("n"), F.min("jid").alias("jid"))
-    left = classes.join(alone, "key", "left").filter(F.coalesce("alone", F.lit(0)) <= _missing(F.col("n"), num, den)).select("key", "jid")
+    classes = some.groupBy("key").agg(F.max("n").alias("n"), F.min("jid").alias("jid"), F.min_by("th", "jid").alias("th"))
+    left = classes.join(alone, "key", "left").filter(F.coalesce("alone", F.lit(0)) <= _missing(F.col("n"), num, den)).select("key", "jid", "th")
     left = C.written(left, "left")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             keys, sets, bits = [], [], []
             for wanted, found in zip(batch.column("key").to_pylist(), shingle_sets(batch.column("text"), k)):
-                if len(found) and _key(found) == wanted:  # other texts may bear the same id
+                if len(found) and _key(found) == wanted:  # another text may have the same hash
                     keys.append(wanted)
                     sets.append(found.view(np.int64))
                     parity = np.bincount((found >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
@@ -133,13 +138,13 @@ def _tables(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(bits, pa.binary())], ["key", "n", "set", "bits"])
 
-    again = text.select("jid", "text").join(_small(left), "jid").select("key", "text")
+    one = _small(left)
+    again = text.select("jid", "th", "text").join(one, ["jid", "th"]).select("key", "text")
+    if some.select("jid", "th").join(one, ["jid", "th"]).count() > left.count():  # rows that repeat an id and its text
+        again = again.dropDuplicates(["key"])
     schema = "key long, n long, set array<long>, bits binary"
     sets = C.written(again.mapInArrow(whole, schema), "whole")
-    if sets.count() != sets.select("key").distinct().count():  # rows that repeat an id and its text
-        repeated, sets = sets, C.written(sets.dropDuplicates(["key"]), "whole")
-        C.forget(repeated)
-    few = C.written(rows.select("doc_id", "n", "key"), "classes")
+    few = C.written(rows.select("doc_id", "jid", "th", "n", "key"), "classes")
     C.forget(rows, left)
     return few, sets
 
@@ -152,13 +157,14 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     each = sets.select("key", F.explode("set").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    lists = each.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))  # of one set's shingles
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    lists = C.spread_join(each, shared, "token", "df", total, F.xxhash64("key")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))  # of one set's shingles
     e = _missing(F.col("n"), num, den)
     rows = sets.select("key", "n").join(lists, "key").withColumn("own", F.col("n") - F.size("s")).withColumn("e", e).filter("own <= e")
     rows = rows.withColumn("s", F.expr(f"slice(s, 1, cast(greatest(0, e + {MOST_MATCHES} - own) as int))"))
     # estimated cost of l: its lists' lengths, and the verification of at most an l-th as many candidates
-    total = "aggregate(slice(s, 1, cast(greatest(0, e + {0} - own) as int)), 0L, (a, x) -> a + x.df)"
-    costs = [f"named_struct('c', {total.format(j)} * (1 + {VERIFY_COST} / {j}D), 'l', {j})" for j in range(1, MOST_MATCHES + 1)]
+    length = "aggregate(slice(s, 1, cast(greatest(0, e + {0} - own) as int)), 0L, (a, x) -> a + x.df)"
+    costs = [f"named_struct('c', {length.format(j)} * (1 + {VERIFY_COST} / {j}D), 'l', {j})" for j in range(1, MOST_MATCHES + 1)]
     # linked sets share n - e shingles at least, and may share no more: l is bounded by that
     rows = rows.withColumn("l", F.expr(f"array_min(filter(array({', '.join(costs)}), x -> x.l <= n - e)).l"))
     rows = rows.select("key", "n", "own", "l", "e", F.posexplode("s").alias("i", "x")).withColumn("level", F.greatest(F.lit(1), F.col("own") + F.col("i") + 1 - F.col("e")).cast("int"))
@@ -184,7 +190,7 @@ def _hub_links(prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     first = prefixes.filter("level = 1")
     order = F.struct(F.round(F.col("own") / F.col("n"), 2).alias("share"), "key")
     hubs = first.groupBy("token").agg(F.min(order).alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    pairs = first.join(hubs, "token").select(F.col("key").alias("x"), F.col("hub.key").alias("y")).filter("x != y").distinct()
+    pairs = C.spread_join(first, hubs, "token", "members", prefixes.count(), F.xxhash64("key")).select(F.col("key").alias("x"), F.col("hub.key").alias("y")).filter("x != y").distinct()
     narrow = [sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "xy"]
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +211,22 @@ def _bitmaps(column: pa.Array) -> np.ndarray:
 
 def _other_links(prefixes: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Step 4: the links (x, y) between the components that the hubs have made; roots: (key, root)."""
-    rows = prefixes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lists = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b")
-    # a long list is cut into blocks; each pair of blocks is a group of its own
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.join(lists.select("token", blocks.alias("blocks")), "token").withColumn("at", F.pmod(F.xxhash64("key", "token"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("group", F.xxhash64("token", F.least("at", "other"), F.greatest("at", "other"))).withColumn("side", (F.col("at") <= F.col("other")).cast("int"))
-    rows = rows.withColumn("alone", F.col("at") == F.col("other"))
+    rows = C.written(prefixes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
+    lists = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("token", "members")
+    # a long list is cut by size, so that links lie within a cut or between neighbours, and each cut into blocks
+    long = F.col("members") > BLOCK
+    size = F.floor(F.log("n") / (float(np.log(den / num)) * (1 + 1e-9))) if den > num else F.col("n")
+    listed = C.written(C.spread_join(rows, lists, "token", "members", rows.count(), F.xxhash64("key")).withColumn("size", F.when(long, size).otherwise(0).cast("int")), "members")
+    cuts = listed.filter(long).groupBy("token", "size").agg(F.count("*").alias("n")).groupBy("token")
+    cuts = cuts.agg(F.map_from_entries(F.collect_list(F.struct("size", F.ceil(F.col("n") / BLOCK).cast("int")))).alias("cut"), F.sum("n").alias("members"))
+    inlong = C.spread_join(listed.filter(long).drop("members"), cuts, "token", "members", listed.count(), F.xxhash64("key"))
+    rows = inlong.drop("members").unionByName(listed.filter(~long).drop("members").withColumn("cut", F.create_map(F.lit(0), F.lit(1))))
+    # each pair of blocks is a group of its own
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("key", "token"), F.expr("try_element_at(cut, size)")).cast("int"))
+    others = "transform(sequence(0, coalesce(try_element_at(cut, size + {0}), 0)), j -> named_struct('c', size + least(0, {0}), 'i', {1}, 'd', size + greatest(0, {0}), 'j', {2}, 'side', {3}, 'alone', {4}))"
+    cells = [others.format(0, "least(at, j)", "greatest(at, j)", "at <= j", "at = j"), others.format(1, "at", "j", "true", "false"), others.format(-1, "j", "at", "false", "false")]
+    rows = rows.withColumn("cell", F.explode(F.expr("concat(" + ", ".join(f"slice({x}, 1, coalesce(try_element_at(cut, size + {d}), 0))" for x, d in zip(cells, (0, 1, -1))) + ")")))
+    rows = rows.withColumn("group", F.xxhash64("token", "cell.c", "cell.i", "cell.d", "cell.j")).withColumn("side", F.col("cell.side").cast("int")).withColumn("alone", F.col("cell.alone"))
     rows = rows.join(sets.select("key", "bits"), "key").select("group", "side", "alone", "key", "n", "own", "l", "level", "root", "bits")
     rows = rows.repartition("group").sortWithinPartitions("group")
 
@@ -267,15 +281,16 @@ def components(links: DataFrame) -> DataFrame:
     the component's size. Every round, and the result, is a written table.
     """
     edges = C.written(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
+    state, by = None, F.xxhash64("u", "v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = C.spread_join(both, least, "u", "n", 2 * edges.count(), by).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = C.written(large.distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = C.spread_join(large, least, "u", "n", large.count(), by).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         before, edges = edges, C.written(small.filter("u != v").distinct(), "edges")
-        C.forget(before)
+        C.forget(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -286,12 +301,10 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; threshold is a fraction (numerator, denominator).
+def _labelled(docs: DataFrame, k: int, threshold: tuple[int, int], label: Column) -> DataFrame:
+    """(doc_id, jid, th, n, label) of every row; label is the least that any row of its component has.
 
-    component_id is the least doc_id that links reach, the own one included. A null or empty text, or one without
-    words, has no shingles and is linked with nothing. Rows with a null doc_id take part (component_id is null only
-    if no row of the component has a doc_id); repeated rows give a row each; other columns are ignored.
+    Where n is 0, a row is a component of its own, and label is null.
     """
     num, den = threshold
     rows, sets = _tables(docs, k, num, den)
@@ -303,25 +316,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
         star, roots = roots, components(roots.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(others))
         C.forget(star)
     C.forget(sets, prefixes, by_hub, others)
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    some = rows.filter("n > 0")
+    classes = some.groupBy("key").agg(F.min(label).alias("least"), F.count("*").alias("rows"))
     joined = roots.join(classes, "key").select("key", "root", "least")
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    changed = joined.select("key", "root").join(least, "root").select("key", "component")
-    labels = classes.join(changed, "key", "left").select("key", F.coalesce("component", "least").alias("component_id"))
-    linked = rows.filter("n > 0").join(labels, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    least = joined.groupBy("root").agg(F.min("least").alias("label"), F.count("*").alias("classes"))
+    changed = C.spread_join(joined.select("key", "root"), least, "root", "classes", roots.count(), F.xxhash64("key")).select("key", "label")
+    labels = classes.join(changed, "key", "left").select("key", F.coalesce("label", "least").alias("label"), "rows")
+    linked = C.spread_join(some, labels, "key", "rows", rows.count(), F.monotonically_increasing_id()).select("doc_id", "jid", "th", "n", "label")
+    return linked.unionByName(rows.filter("n = 0").select("doc_id", "jid", "th", "n").withColumn("label", F.lit(None)))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; threshold is a fraction (numerator, denominator).
+
+    component_id is the least doc_id that links reach, the own one included. A null or empty text, or one without
+    words, has no shingles and is linked with nothing. Rows with a null doc_id take part (component_id is null only
+    if no row of the component has a doc_id); repeated rows give a row each; other columns are ignored.
+    """
+    found = _labelled(docs, k, threshold, F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The documents, with all their columns, less near duplicates: of each component the one with the least doc_id stays.
+    """The documents, with all their columns, less near duplicates: of each component exactly one row stays.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id, and texts without words, all stay.
+    It is a row with the least doc_id (without any doc_id in the component, one without), of several texts with that
+    doc_id the one with the least hash. Rows are decided one by one: an id may occur with several texts, and those in
+    different components all stay. Rows that repeat doc_id and text are one document, of which one row stays, whatever
+    their other columns. Texts without words have no copies: with a doc_id they stay once, without one they all stay.
     """
-    found = near_duplicates(docs, k, threshold)
-    dropped = C.written(found.filter("doc_id != component_id").select("doc_id").distinct(), "dropped")
-    out = docs.join(_small(dropped), "doc_id", "left_anti").select(*docs.columns)
-    again = C.written(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    found = _labelled(docs, k, threshold, F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th"))
+    found = C.written(found.select("doc_id", "jid", "th", "n", F.col("label.doc_id").alias("first_id"), F.col("label.th").alias("first_th")), "labels")
+    names = ["_join_id", "_join_text"]
+    rows = found.select("doc_id", "n", "first_id", "first_th", F.col("jid").alias(names[0]), F.col("th").alias(names[1]))
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col(names[1]) == F.col("first_th"))
+    dropped = C.written(rows.filter((F.col("n") > 0) & ~first).select(*names).distinct(), "dropped")
+    again = C.written(rows.filter(F.col("doc_id").isNotNull() | (F.col("n") > 0)).groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1").select(*names), "again")
+    C.forget(found)
+    jid, th = _row_keys(docs)
+    out = docs.select("*", jid.alias(names[0]), th.alias(names[1])).join(_small(dropped), names, "left_anti")
     if again.take(1):
         again = _small(again)
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-    return out
+        out = out.join(again, names, "left_anti").unionByName(out.join(again, names, "left_semi").dropDuplicates(names))
+    return out.select(*docs.columns)
