@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,6 +50,19 @@ def test_license(spark, texts):
         assert license_base(found[d]) == brute_license(t)
         assert set(found[d]["base_labels"].split(",")) <= set(found[d]["labels"].split(",")) | {""}
         assert 0 <= found[d]["score"] <= 1
+        assert (detections(found[d]), found[d]["labels"], found[d]["score"]) == brute_detections(t)
+
+
+def detections(r):
+    return sorted((d["priority"], d["first_word"], d["end_word"], d["label"], d["confidence"]) for d in r["detections"])
+
+
+def brute_detections(text):
+    """All rules, all pairs of detections: what is kept, its labels, its best confidence."""
+    found = every_detection(text or "")
+    p, s, e = (np.array([x[k] for x in found], int) for k in range(3))
+    kept = [x for x in found if x[0] == 0 or not (((s <= x[1]) & (e >= x[2])) & ((p < x[0]) | ((p == x[0]) & ((s < x[1]) | (e > x[2]))))).any()]
+    return kept, ",".join(sorted({x[3] for x in kept})), max((x[4] for x in kept), default=0)
 
 
 LICENSES = {
@@ -74,7 +88,7 @@ def test_license_suppression(spark):
     spans = [(d["priority"], d["first_word"], d["end_word"]) for d in r["detections"]]
     for p, a, b in spans:
         assert p == 0 or not any(c <= a and b <= d and (q < p or q == p and (c, d) != (a, b)) for q, c, d in spans)
-    assert len(license_scan.rules()) > 200
+    assert len(license_scan.NAMES) + len(license_scan.NOTICES) + len(license_scan.SPDX) > 250
 
 
 def every_detection(text):
@@ -88,16 +102,21 @@ def every_detection(text):
 
 
 def test_license_suppression_in_long_texts(spark):
-    """Beyond some 5,000 detections too only better or longer ones suppress, and only what they contain: against all pairs."""
+    """Among 20,000 detections too only better or longer ones suppress, and only what they contain: against all pairs."""
     lines = ["the zlib license.", "licensed under the MIT license,", "All rights reserved!", "the ISC license", "Apache License, Version 2.0", "GNU General Public License", "released under the terms of the Mozilla Public License 2.0"]
-    text = "\n".join(f"file {i}: {lines[i % len(lines)]}" for i in range(4000)) + "\nthe PHP license, last of all"
+    text = "\n".join(f"file {i}: {lines[i % len(lines)]}" for i in range(13000)) + "\nthe PHP license, last of all"
     (r,) = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    found = every_detection(text)
-    assert len(found) > 6000
-    p, s, e = (np.array([x[k] for x in found]) for k in range(3))
-    kept = [x for x in found if x[0] == 0 or not (((s <= x[1]) & (e >= x[2])) & ((p < x[0]) | ((p == x[0]) & ((s < x[1]) | (e > x[2]))))).any()]
-    assert sorted((d["priority"], d["first_word"], d["end_word"], d["label"], d["confidence"]) for d in r["detections"]) == kept
-    assert r["labels"] == ",".join(sorted({x[3] for x in kept})) and "php" in r["labels"]
+    assert len(every_detection(text)) > 20000
+    assert (detections(r), r["labels"], r["score"]) == brute_detections(text)
+    assert "php" in r["labels"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.sampled_from(license_scan.rules()).flatmap(lambda r: st.tuples(st.just(r), st.from_regex(r.pattern.removeprefix("(?<![^ ])"), fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyzé0123456789 "))))
+def test_license_gate_lets_every_match_through(case):
+    rule, text = case
+    assert rule.keyword in text and rule.also in text
+    assert regex.search(license_scan.GATE, text.upper()) or regex.search(license_scan.GATE, text)
 
 
 def test_license_keywords_are_in_every_match():
