@@ -47,6 +47,40 @@ def test_mixture(table):
     assert pi.sum(1) == pytest.approx([1, 1, 1, 0], abs=1e-4)
 
 
+def test_long_texts_and_many_languages_in_blocks(table, monkeypatch):
+    """The same proportions whether words are worked on at once or in small blocks."""
+    docs = [(r["text"], r["lang"]) for r in table("documents").collect()]
+    model = langid.train([t for t, _ in docs], [x for _, x in docs])
+    texts = pa.array([t for t, _ in docs] + ["", f"{docs[0][0]} {docs[1][0]}", None, "x"])
+    want, words = langid.infer(model, texts)
+    for cells in (400, 4 * 37, 4):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        some = texts if cells > 4 else texts.slice(len(docs) - 1, 5)
+        got, n = langid.infer(model, some)
+        assert n.tolist() == words.tolist()[-len(some) :] and got == pytest.approx(want[-len(some) :], abs=2e-3)
+
+
+def test_three_hundred_languages(spark):
+    """Every label is learned, also beyond some hundreds, and each language's texts are told from the others'."""
+    rng = np.random.default_rng(2)
+    syllables = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"]
+    vocabulary = {f"l{k:03}": ["".join(rng.choice(syllables, 3)) for _ in range(12)] for k in range(300)}
+    rows = [(1000 * k + i, " ".join(rng.choice(v, 30)), x) for k, (x, v) in enumerate(vocabulary.items()) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == sorted(vocabulary)
+    assert np.array_equal(model.log_p, langid.train(*zip(*[(t, x) for d, t, x in rows if zlib.crc32(str(d).encode()) % 3 != 1])).log_p)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
+    assert np.mean([found[d] == x for d, _, x in rows]) > 0.98
+
+
+def test_documents_in_several_languages_stay(spark, table):
+    docs = {r["lang"]: r["text"] for r in table("documents", MEDIUM).filter("n_chars between 2000 and 4000").collect()}
+    mixed = " ".join(t[:1500] for t in docs.values())
+    df = table("documents", MEDIUM).select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, mixed, None), (-2, "123 456", None)], "doc_id long, text string, lang string"))
+    assert len(docs) > 2 and {r["doc_id"] for r in langid.keep_identified(df).filter("doc_id < 0").collect()} == {-1}
+
+
 def test_language_odd(odd, empty, table):
     model = langid.fit(table("documents"))
     rows = langid.identify(odd, model).collect()

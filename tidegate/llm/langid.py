@@ -7,7 +7,7 @@ likelihood less a penalty for each language more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,13 +20,13 @@ from tidegate.llm import _common as C
 
 #: Labelled documents that a language's n-grams are learned from, in expectation: the bound of the sample.
 TRAIN_PER_LANGUAGE = 1000
-#: Languages that are learned, the most frequent labels first: the bound of the model.
-MOST_LANGUAGES = 256
 #: Longer labelled texts are not drawn into the sample, but for the beginnings of those whose language has no shorter one; every
 #: text is identified whole.
 TRAIN_CHARS = 50_000
-#: Hashed n-grams of bytes, and what is added to each count.
+#: Hashed n-grams of bytes, and what is added to each count. A language takes 4 bytes a bucket in the model, 256 KB.
 BUCKETS, SMOOTH = 1 << 16, 0.05
+#: Words times languages that are worked on at once: bounds a worker's memory, however long a text or many the languages.
+CELLS = 1 << 23
 ROUNDS = 6
 #: A language more must gain this many times log(words) / 2 of log-likelihood.
 PENALTY = 2.0
@@ -65,27 +65,73 @@ def _grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket[np.repeat(begin - offsets[:-1], lens) + np.arange(offsets[-1])], offsets
 
 
+def _counts(texts: pa.Array) -> np.ndarray:
+    """How often each bucket's n-grams stand in the texts."""
+    _, codes, distinct = _words(texts)
+    bucket, ends = _grams(distinct)
+    times = np.bincount(codes, minlength=len(distinct))
+    return np.bincount(bucket, np.repeat(times, np.diff(ends)), minlength=BUCKETS)
+
+
+def _model(counts: dict[str, np.ndarray]) -> Model:
+    languages = sorted(counts)
+    log_p = np.empty((BUCKETS, len(languages)), np.float32)
+    for k, x in enumerate(languages):
+        log_p[:, k] = np.log((counts[x] + SMOOTH) / (counts[x].sum() + SMOOTH * BUCKETS))
+    return Model(languages, log_p)
+
+
 def train(texts: list[str], labels: list[str]) -> Model:
-    languages = sorted(set(labels))
-    counts = np.full((BUCKETS, len(languages)), SMOOTH)
-    by = np.array([languages.index(x) for x in labels])
-    for k in range(len(languages)):
-        offsets, codes, distinct = _words(pa.array([t for t, x in zip(texts, by) if x == k], pa.string()))
-        bucket, ends = _grams(distinct)
-        times = np.bincount(codes, minlength=len(distinct))
-        counts[:, k] += np.bincount(bucket, np.repeat(times, np.diff(ends)), minlength=BUCKETS)
-    return Model(languages, np.log(counts / counts.sum(0)).astype(np.float32))
-
-
-def _em(like: np.ndarray, row: np.ndarray, starts: np.ndarray, n: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of each document after `rounds`, and its log-likelihood (relative to the scale of like)."""
-    for i in range(rounds + 1):
-        part = like * pi[row]
-        total = part.sum(1)
-        if i < rounds:
-            part /= total[:, None]
-            pi = np.add.reduceat(part, starts, axis=0) / n[:, None]
-    return pi, np.add.reduceat(np.log(total.astype(np.float64)), starts)
+    return _model({x: _counts(pa.array([t for t, y in zip(texts, labels) if x == y], pa.string())) for x in set(labels)})
+
+
+class _Block(NamedTuple):
+    """Words that are worked on at once: likelihoods (words x languages, the best language has 1), and each word's document."""
+
+    like: np.ndarray
+    docs: np.ndarray  # the documents that have words here
+    starts: np.ndarray  # where each one's words begin
+    row: np.ndarray  # each word's place in docs
+
+
+def _blocks(model: Model, distinct: pa.Array, offsets: np.ndarray, codes: np.ndarray) -> Iterator[_Block]:
+    """The words in blocks of at most CELLS / languages words, from first to last."""
+    bucket, ends = _grams(distinct)
+    n, step = int(offsets[-1]), max(1, CELLS // max(1, len(model.languages)))
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        used, at = np.unique(codes[a:b], return_inverse=True)
+        like = np.empty((len(used), len(model.languages)), np.float32)
+        for i in range(0, len(used), max(1, step // 8)):  # a word has some eight n-grams
+            part = used[i : i + max(1, step // 8)]
+            lens = np.diff(ends)[part]
+            to = np.concatenate([[0], np.cumsum(lens)])
+            grams = bucket[np.repeat(ends[part] - to[:-1], lens) + np.arange(to[-1])]
+            like[i : i + len(part)] = np.add.reduceat(model.log_p[grams], to[:-1], axis=0)
+        like -= like.max(1, keepdims=True)
+        like = np.exp(np.maximum(like, -60))[at]
+        docs = np.arange(np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b))
+        docs = docs[offsets[docs + 1] > np.maximum(offsets[docs], a)]  # not those without words
+        starts = np.maximum(offsets[docs], a) - a
+        row = np.repeat(np.arange(len(docs)), np.diff(np.append(starts, b - a)))
+        yield _Block(like, docs, starts, row)
+
+
+def _em(blocks: Callable[[], Iterator[tuple[_Block, np.ndarray]]], n: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each document after ROUNDS, and its log-likelihood. The blocks come with their likelihoods to use."""
+    for i in range(ROUNDS + 1):
+        new, found = np.zeros_like(pi), np.zeros(len(pi))
+        for block, like in blocks():
+            part = like * pi[block.docs][block.row]
+            total = part.sum(1)
+            if i < ROUNDS:
+                part /= total[:, None]
+                new[block.docs] += np.add.reduceat(part, block.starts, axis=0)
+            else:
+                found[block.docs] += np.add.reduceat(np.log(total.astype(np.float64)), block.starts)
+        if i < ROUNDS:
+            pi = new / n[:, None]
+    return pi, found
 
 
 def infer(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,35 +140,55 @@ def infer(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets, codes, distinct = _words(text)
     words = np.diff(offsets)
     out = np.zeros((len(text), n_lang), np.float32)
-    some = np.flatnonzero(words)
-    if not len(some) or not n_lang:
+    if not n_lang:
         return out, words
-    bucket, ends = _grams(distinct)
-    log_w = np.add.reduceat(model.log_p[bucket], ends[:-1], axis=0)
-    log_w -= log_w.max(1, keepdims=True)
-    like = np.exp(np.maximum(log_w, -60))[codes]  # of each word of the text; its best language has 1
-    n = words[some].astype(np.float32)
-    starts = offsets[some]
-    row = np.repeat(np.arange(len(some)), words[some])
-    full, _ = _em(like, row, starts, n, np.full((len(some), n_lang), 1 / n_lang, np.float32), ROUNDS)
+    group = max(1, CELLS // n_lang)  # documents of about so many words go together; a longer one alone, block by block
+    at = 0
+    while at < len(text):
+        to = max(at + 1, min(int(np.searchsorted(offsets, offsets[at] + group, side="right")) - 1, at + group))
+        some = at + np.flatnonzero(words[at:to])
+        if len(some):
+            ends = np.concatenate([[0], np.cumsum(words[some])])
+            out[some] = _choose(model, distinct, ends, codes[offsets[at] : offsets[to]])
+        at = to
+    return out, words
+
+
+def _choose(model: Model, distinct: pa.Array, offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The proportions of some documents, each of which has words."""
+    n, n_lang = np.diff(offsets).astype(np.float32), len(model.languages)
+    made = list(_blocks(model, distinct, offsets, codes)) if offsets[-1] * n_lang <= CELLS else None
+    blocks = lambda: made if made is not None else _blocks(model, distinct, offsets, codes)
+    full, _ = _em(lambda: ((x, x.like) for x in blocks()), n, np.full((len(n), n_lang), 1 / n_lang, np.float32))
     order = np.argsort(-full, axis=1, kind="stable")
     # sets of the likeliest 1, 2, ... languages; a document goes on while one more pays
     chosen = np.zeros_like(full)
     np.put_along_axis(chosen, order[:, :1], 1.0, axis=1)
-    log_w_top = np.log(np.take_along_axis(like, order[row, :1], axis=1)[:, 0].astype(np.float64))
-    best = np.add.reduceat(log_w_top, starts)
-    going = np.arange(len(some))
+    best = np.zeros(len(n))
+    for x in blocks():
+        top = np.take_along_axis(x.like, order[x.docs][x.row, :1], axis=1)[:, 0]
+        best[x.docs] += np.add.reduceat(np.log(top.astype(np.float64)), x.starts)
+    going = np.arange(len(n))
     for size in range(2, n_lang + 1):
         # no more than a doubling of each word's likelihood can be gained where the next language explains nothing
         going = going[np.take_along_axis(full[going], order[going, size - 1 : size], axis=1)[:, 0] > 1e-3]
         if not len(going):
             break
-        at = np.repeat(starts[going] - np.concatenate([[0], np.cumsum(words[some][going])[:-1]]), words[some][going]) + np.arange(int(words[some][going].sum()))
-        sub_row = np.repeat(np.arange(len(going)), words[some][going])
-        sub_starts = np.concatenate([[0], np.cumsum(words[some][going])[:-1]])
-        part = np.take_along_axis(like[at], order[going][sub_row, :size], axis=1)
+        place = np.full(len(n), -1)
+        place[going] = np.arange(len(going))
+
+        def likely(size=size, place=place) -> Iterator[tuple[_Block, np.ndarray]]:
+            for x in blocks():
+                docs = np.flatnonzero(place[x.docs] >= 0)
+                if len(docs):
+                    keep = place[x.docs[x.row]] >= 0
+                    lens = np.diff(np.append(x.starts, len(x.row)))[docs]
+                    row = np.repeat(np.arange(len(docs)), lens)
+                    like = np.take_along_axis(x.like[keep], order[x.docs[docs]][row, :size], axis=1)
+                    yield _Block(like, place[x.docs[docs]], np.cumsum(lens) - lens, row), like
+
         pi = np.take_along_axis(full[going], order[going, :size], axis=1) + 1e-6
-        pi, found = _em(part, sub_row, sub_starts, n[going], pi / pi.sum(1, keepdims=True), ROUNDS)
+        pi, found = _em(likely, n[going], pi / pi.sum(1, keepdims=True))
         pays = found - best[going] > PENALTY * 0.5 * np.log(n[going] + 1)
         better = going[pays]
         chosen[better] = 0
@@ -130,8 +196,7 @@ def infer(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chosen[rows, order[better, :size]] = pi[pays]
         best[better] = found[pays]
         going = better
-    out[some] = chosen
-    return out, words
+    return chosen
 
 
 def held_out() -> Column:
@@ -142,19 +207,37 @@ def held_out() -> Column:
 def fit(docs: DataFrame) -> Model:
     """Learn each language's n-grams from a sample of labelled texts of at most TRAIN_CHARS, drawn by a hash of doc_id.
 
-    A language that has longer texts only is learned from the first TRAIN_CHARS of a sample of these.
+    Every label is learned. A language that has longer texts only is learned from the first TRAIN_CHARS of a sample of
+    these. N-grams are counted by the executors; the driver gets the counts, at most BUCKETS of a language. Rows with a
+    null lang or doc_id, or held out, are not learned from; repeated rows count as often as they stand; without labels
+    the model has no language.
     """
+    C.settings(docs.sparkSession)
     known = C.documents(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.withColumn("lang", F.col("lang").cast("string"))
     short = F.length("text") <= TRAIN_CHARS
-    each = known.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("every")).withColumn("n", F.expr("if(short > 0, short, every)"))
-    each = each.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    counts, long = {r["lang"]: r["n"] for r in each}, [r["lang"] for r in each if not r["short"]]
+    each = known.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("every")).collect()
+    counts, long = {r["lang"]: r["short"] or r["every"] for r in each}, [r["lang"] for r in each if not r["short"]]
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, TRAIN_PER_LANGUAGE / n)))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    rows = known.filter(draw & (short | F.col("lang").isin(long) if long else short)).select(F.substring("text", 1, TRAIN_CHARS), "lang").collect()
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    drawn = known.filter(draw & (short | F.col("lang").isin(long) if long else short)).select(F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            lang = batch.column("lang")
+            for x in pc.unique(lang).to_pylist():
+                n = _counts(batch.column("text").filter(pc.equal(lang, x)))
+                bucket = np.flatnonzero(n)
+                yield pa.record_batch([pa.array([x] * len(bucket), pa.string()), pa.array(bucket), pa.array(n[bucket].astype(np.int64))], ["lang", "bucket", "n"])
+
+    found = drawn.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = found.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
+    learned = {x: np.zeros(BUCKETS) for x in counts}
+    for r in found.toLocalIterator():
+        learned[r["lang"]][r["buckets"]] = r["counts"]
+    return _model(learned)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -191,14 +274,18 @@ def _labels(model: Model, text: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array,
     return pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, that are in some language for at least `least` of their words."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, in which a language, or several, is found; others go.
+
+    None is found in a null or empty text and in one without a letter, and nowhere if no row is labelled. Rows are
+    decided one by one: repeated ones stay or go alike. An empty table stays empty.
+    """
     C.settings(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(fit(docs)), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
-            pred, score, _, _ = _labels(shared.value, pc.fill_null(batch.column(at), ""))
-            yield batch.filter(pc.and_(pc.not_equal(pred, UNKNOWN), pc.greater_equal(score, least)))
+            pred, _, _, _ = _labels(shared.value, pc.fill_null(batch.column(at), ""))
+            yield batch.filter(pc.not_equal(pred, UNKNOWN))
 
     return docs.mapInArrow(keep, docs.schema)
