@@ -188,7 +188,7 @@ def test_stages(spark, table):
 
 def brute_near(item, text):
     """Whether some part of text is within the budget; pieces of it that share no word are not tried."""
-    if item in text:
+    if f" {item} " in f" {text} ":
         return True
     k = int(len(item) * decontaminate.ERROR_RATE)
     grams = {item[i : i + 3] for i in range(len(item) - 2)}

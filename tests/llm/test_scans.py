@@ -241,28 +241,40 @@ def test_redact(odd):
 # decontamination
 
 
-def brute_distance(item, text):
-    """Edits between the item and the nearest part of the text."""
-    row = list(range(len(item) + 1))
-    best = len(item)
-    for c in text:
-        new = [0]
-        for i, x in enumerate(item, 1):
-            new.append(min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (x != c)))
-        row = new
-        best = min(best, row[-1])
+def brute_nearest(item, text):
+    """(edits, start, end) of the nearest run of whole words, the earliest and shortest of equals."""
+    best = (1 << 30, 0, 0)
+    for start in range(len(text)):
+        if text[start] == " " or start and text[start - 1] != " ":
+            continue
+        row = list(range(len(item) + 1))
+        for end in range(start + 1, min(len(text), start + 2 * len(item) + 6) + 1):
+            new = [end - start]
+            for i, x in enumerate(item, 1):
+                new.append(min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (x != text[end - 1])))
+            row = new
+            if text[end - 1] != " " and (end == len(text) or text[end] == " "):
+                best = min(best, (row[-1], start, end))
     return best
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abc", min_size=1, max_size=12), st.text("abc", max_size=30), st.integers(0, 6))
-def test_distance(item, text, most):
-    peq = {c: sum(1 << i for i, x in enumerate(item) if x == c) for c in item}
-    best, end = decontaminate.distance(peq, len(item), text, most)
-    want = brute_distance(item, text)
-    assert (best <= most) == (want <= most) and (best == want or want > most)
-    if best <= most:
-        assert brute_distance(item, text[:end]) == best
+def brute_distance(item, text):
+    return brute_nearest(item, text)[0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab ", min_size=1, max_size=12).map(decontaminate.normalize).filter(bool), st.text("ab c", max_size=30).map(decontaminate.normalize), st.integers(0, 6))
+def test_nearest(text_of_item, text, budget):
+    item = decontaminate.Item(1, text_of_item, budget, decontaminate._bits(text_of_item), decontaminate._bits(text_of_item[::-1]), [])
+    want = brute_nearest(text_of_item, text)
+    assert decontaminate.nearest(item, text, 0, len(text)) == (want if want[0] <= budget else None)
+
+
+def test_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "art"), (3, "the art of war is old")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "green eyes at the party"), (2, "Oh yes!"), (3, "on the art of war is old men say"), (4, "the bart of war is cold")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["edits"], r["start"], r["end"]) for r in decontaminate.matches(docs, items).collect()) == [(2, 1, 0, 3, 6), (3, 2, 0, 7, 10), (3, 3, 0, 3, 24)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [1, 4]
 
 
 def test_matcher_finds_every_item_within_budget():
@@ -277,16 +289,16 @@ def test_matcher_finds_every_item_within_budget():
             at = rng.randrange(len(text))
             rng.choice([lambda: text.insert(at, "x"), lambda: text.pop(at), lambda: text.__setitem__(at, "y")])()
         text = " ".join(rng.choices(words, k=5)) + " " + "".join(text) + " " + " ".join(rng.choices(words, k=5))
-        found = {x: e for x, e, _, _ in matcher.search(text)}
+        found = {x: e for x, *e in matcher.search(text)}
         for j, other in items:
-            d = brute_distance(other, text)
-            assert found.get(j) == (d if d <= int(len(other) * decontaminate.ERROR_RATE) else None)
+            want = brute_nearest(other, text)
+            assert found.get(j) == (list(want) if want[0] <= int(len(other) * decontaminate.ERROR_RATE) else None)
 
 
 def test_decontamination(spark, table, texts, odd, empty):
     items = [(r["item_id"], decontaminate.normalize(r["text"])) for r in table("benchmark").collect()]
     found = {(r["doc_id"], r["item_id"]): r["edits"] for r in queries.op9_decontamination(spark, SF).collect()}
-    exact = {(d, i) for d, t in texts for i, x in items if x in decontaminate.normalize(t)}
+    exact = {(d, i) for d, t in texts for i, x in items if f" {x} " in f" {decontaminate.normalize(t)} "}
     assert {k for k, e in found.items() if e == 0} == exact and exact
     for (d, i), e in found.items():
         assert brute_distance(dict(items)[i], decontaminate.normalize(dict(texts)[d])) == e

@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Both sides are compared in lower case, with every run of other characters than letters and digits as one space. A
-test item of m characters has a budget of k edits and is split into k + 1 pieces: whoever differs from it by at most k
-edits holds a piece unchanged. Pieces are found by one automaton; each hit's surroundings are verified by Myers'
-bit-parallel distance.
+test item of m characters has a budget of k edits and is found where a run of whole words is within that budget: "art"
+is not found in "party". It is split into k + 1 pieces: whoever differs from it by at most k edits holds a piece
+unchanged. Pieces are found by one automaton; each hit's surroundings are verified by Myers' bit-parallel distance,
+forwards for the words where a match can end, and from there backwards for the word where it begins.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ def normalize(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def distance(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]:
-    """Myers' search: the least number of edits between the pattern and any part of text, and that part's end.
+def _scan(peq: dict[str, int], m: int, text: str, anchored: bool, most: int) -> Iterator[tuple[int, int]]:
+    """Myers' scan: (place, edits) behind each character of text where at most `most` edits lead from the pattern to a part
+    of text that ends there. anchored: the part begins where text begins, else anywhere.
 
-    peq: for each character the bits of its places in the pattern, of length m. The earliest end is returned. It may
-    stop as soon as the rest of text cannot bring the edits down to `most`.
+    peq: for each character the bits of its places in the pattern, of length m.
     """
     mask, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end, left = mask, 0, m, m, 0, len(text)
+    pv, mv, score, left, first = mask, 0, m, len(text), int(anchored)
     get = peq.get
     for i, c in enumerate(text, 1):
         eq = get(c, 0)
@@ -48,15 +49,39 @@ def distance(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, in
             score += 1
         elif mh & high:
             score -= 1
-            if score < best:
-                best, end = score, i
-        if score - (left - i) > most and best > most:
-            break
-        ph <<= 1
+        if score <= most:
+            yield i, score
+        if score - (left - i) > most:
+            return  # the rest of text cannot bring the edits down again
+        ph = ph << 1 | first
         mh <<= 1
         pv = (mh | ~(xv | ph)) & mask
         mv = ph & xv & mask
-    return best, end
+
+
+def _bits(text: str) -> dict[str, int]:
+    peq: dict[str, int] = {}
+    for i, c in enumerate(text):
+        peq[c] = peq.get(c, 0) | 1 << i
+    return peq
+
+
+def nearest(item: Item, text: str, a: int, b: int) -> tuple[int, int, int] | None:
+    """The best match of the item in text[a:b]: edits, start, end; None beyond its budget.
+
+    A match begins where a word begins and ends where one ends; of equal edits the earliest, then the shortest, counts.
+    """
+    m, k, best = len(item.text), item.budget, None
+    for to, _ in _scan(item.peq, m, text[a:b], False, k):
+        end = a + to
+        if end < len(text) and text[end] != " " or text[end - 1] == " ":
+            continue
+        low = max(a, end - m - k)
+        for back, edits in _scan(item.back, m, text[low:end][::-1], True, k):
+            start = end - back
+            if (start == 0 or text[start - 1] == " ") and text[start] != " " and (best is None or (edits, start, end) < best):
+                best = edits, start, end
+    return best
 
 
 class Item(NamedTuple):
@@ -64,6 +89,7 @@ class Item(NamedTuple):
     text: str
     budget: int
     peq: dict[str, int]
+    back: dict[str, int]
     grams: list[str]
 
 
@@ -78,13 +104,10 @@ class Matcher:
         for item_id, text in items:
             m = len(text)
             k = int(m * rate)
-            peq: dict[str, int] = {}
-            for i, c in enumerate(text):
-                peq[c] = peq.get(c, 0) | 1 << i
             for j in range(k + 1):
                 a, b = m * j // (k + 1), m * (j + 1) // (k + 1)
                 pieces.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append(Item(item_id, text, k, peq, [text[i : i + 3] for i in range(m - 2)]))
+            self.items.append(Item(item_id, text, k, _bits(text), _bits(text[::-1]), [text[i : i + 3] for i in range(m - 2)]))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -105,21 +128,22 @@ class Matcher:
                 tried.add((which, start))
                 item = self.items[which]
                 m, k = len(item.text), item.budget
-                if start >= 0 and text.startswith(item.text, start):
-                    best[which] = (0, start, start + m)
+                end = start + m
+                if start >= 0 and text.startswith(item.text, start) and (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " "):
+                    best[which] = (0, start, end)
                     continue
                 if k == 0:
                     continue
-                at = max(0, start - k)
-                around = text[at : start + m + k]
+                a, b = max(0, start - k), min(len(text), end + k)
                 # k edits leave all but 3k of the item's trigrams
+                around = text[a:b]
                 have = {around[i : i + 3] for i in range(len(around) - 2)}
                 if sum(map(have.__contains__, item.grams)) < len(item.grams) - 3 * k:
                     continue
-                edits, end = distance(item.peq, m, around, k)
-                if edits <= k and edits < best.get(which, (k + 1,))[0]:
-                    best[which] = (edits, at + max(0, end - m), at + end)
-        return [(self.items[w].item_id, e, a, b) for w, (e, a, b) in sorted(best.items())]
+                found = nearest(item, text, a, b)
+                if found and found < best.get(which, (k + 1,)):
+                    best[which] = found
+        return [(self.items[w].item_id, *found) for w, found in sorted(best.items())]
 
 
 def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -141,7 +165,7 @@ def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[li
 def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, edits, start, end (in the normalized text) of the best match of each item in each whole text.
 
-    Documents without a match give no row; null and empty texts and items match nothing; equal items, and equal
+    The best has the fewest edits, then the earliest start. Documents without a match give no row; null and empty texts and items match nothing; equal items, and equal
     documents, each give their rows. Null doc_ids are kept, other columns are ignored. Items are broadcast in blocks of
     bounded size, one pass over the documents each; documents are not shuffled.
     """
@@ -167,7 +191,11 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_c
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents, with all their columns, in which no test item is found; a pass over them for each block of items."""
+    """The documents, with all their columns, in which no test item is found; a pass over them for each block of items.
+
+    Null and empty texts hold nothing and stay, null and empty items are in nothing, without items all documents stay.
+    Rows are decided one by one, so repeated ones go or stay alike. An item of one word is found wherever that word stands.
+    """
     spark, at = docs.sparkSession, docs.columns.index("text")
     C.settings(spark)
     for block in item_blocks(items, block_chars):
