@@ -70,7 +70,7 @@ def test_orc_odd_and_files(spark, odd, empty):
 
 
 def test_separator_scan(spark, texts, odd, empty, monkeypatch):
-    monkeypatch.setattr(token_scan, "BLOCK_IDS", 100)  # many documents run over blocks
+    monkeypatch.setattr(token_scan, "BLOCK_BYTES", 200)  # many documents run over blocks
     found = {r["doc_id"]: r["n_tokens"] for r in queries.op4_token_counts(spark, SF).collect()}
     assert found == {d: len(ids(t)) for d, t in texts}
     rows = token_scan.token_counts(odd, C.scratch(spark, "flat"), PATH).collect()
@@ -79,7 +79,7 @@ def test_separator_scan(spark, texts, odd, empty, monkeypatch):
 
 
 def test_separator_scan_of_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_scan, "BLOCK_IDS", 4)
+    monkeypatch.setattr(token_scan, "BLOCK_BYTES", 8)
     end = token_scan.END_ID
     np.array([1, 2, end, end, 5, 6, 7, 8, 9, 10, 11, 12, 13, end, 3], ">u2").tofile(tmp_path / "part-0")
     np.array([end], ">u2").tofile(tmp_path / "part-1")
@@ -88,6 +88,34 @@ def test_separator_scan_of_files(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in rows] == [(0, 0, 0, 2, True), (0, 1, 3, 0, True), (0, 2, 4, 9, True), (0, 3, 14, 1, False), (1, 0, 15, 0, True)]
 
 
+@pytest.mark.parametrize("end", [token_scan.END_ID, 0x0A0A, 0x0AFF, 7])
+def test_separator_scan_of_splits(spark, tmp_path, monkeypatch, end):
+    """Files that Spark splits anywhere, also within an id, with bytes that look like the end id between two ids."""
+    monkeypatch.setattr(token_scan, "BLOCK_BYTES", 64)
+    rng = np.random.default_rng(end)
+    ids_of = [rng.choice([end, 0x0AFF, 0xFF0A, 0x0A0A, 0x0AF0, 0x00FF, 0x0A00, 0x0700, 7, 1, 300, 40000], n) for n in (1, 999, 5000, 20000)]
+    for i, x in enumerate(ids_of):
+        x.astype(">u2").tofile(tmp_path / f"part-{i:05}-x.bin")
+    (tmp_path / "part-00009-odd.bin").write_bytes(b"\x01\x02\x03")  # an id and half of one
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("777", "4096", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            rows = sorted(map(tuple, token_scan.separator_scan(spark, str(tmp_path), end).collect()))
+            want, shift = [], 0
+            for part, x in enumerate(ids_of):
+                ends = np.flatnonzero(x == end).tolist()
+                for k, (a, b) in enumerate(zip([-1, *ends], [*ends, len(x)])):
+                    if b < len(x) or b > a + 1:
+                        want.append((part, k, shift + a + 1, b - a - 1, b < len(x)))
+                shift += len(x)
+            assert rows == [*want, (9, 0, shift, 1, False)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def check_packing(rows, docs, capacity, end):
     want = {}
     for d, t in docs:
