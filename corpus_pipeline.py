@@ -54,7 +54,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what every other stage keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = C.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            C.forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,6 +69,54 @@ def test_orc_odd_and_files(spark, odd, empty):
     assert token_orc.token_orc_digest(empty, C.scratch(spark, "orc"), PATH).collect() == []
 
 
+def test_orc_stripes_indexes_and_pruning(spark):
+    """Files have stripes, row indexes and Bloom filters on doc_id; a filter on doc_id leaves most rows unread."""
+    path = C.scratch(spark, "orc")
+    docs = spark.range(20000).selectExpr("id * 2 AS doc_id", "concat('word ', id) AS text")
+    token_orc.write_token_orc(docs, path, PATH)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted(__import__("glob").glob(path.removeprefix("file://") + "/part-*.orc"))
+    orc = jvm.org.apache.orc.OrcFile
+    kinds = set()
+    for f in files:
+        reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(f), orc.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+        rows = reader.rows()
+        for i in range(reader.getStripes().size()):
+            assert reader.getStripes().get(i).getIndexLength() > 0
+            kinds |= {(s.getColumn(), s.getKind().toString()) for s in rows.readStripeFooter(reader.getStripes().get(i)).getStreamsList()}
+        doc_id = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+        rows.close()
+    assert {(doc_id, "ROW_INDEX"), (doc_id, "BLOOM_FILTER_UTF8")} <= kinds
+
+    def scanned(condition):
+        df = spark.read.schema("doc_id long, n_tokens long").orc(path).filter(condition)
+        found = len(df.collect())
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    assert scanned("doc_id >= 0") == (20000, 20000)
+    found, read = scanned("doc_id = 12344")
+    assert found == 1 and read <= 1000
+    found, read = scanned("doc_id = 12345")  # within the range of a row group, so only a Bloom filter can tell
+    assert found == 0 and read <= 1000
+    assert [r["start"] for r in token_orc.read_token_orc(spark, path).filter("doc_id = 0").collect()] == [0]
+
+
+def test_orc_of_one_repeated_row(spark):
+    """Rows that repeat one id and text are dealt into several files, and all come back."""
+    docs = spark.range(0, 30000, 1, 6).selectExpr("7L AS doc_id", "'the same words again' AS text")
+    path = C.scratch(spark, "orc")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = token_orc.token_orc_digest(docs, path, PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = len(ids("the same words again", 2))
+    assert sorted(r["start"] for r in rows) == [n * i for i in range(30000)]
+    assert {r["n_tokens"] for r in rows} == {n} and spark.read.orc(path).select("part").distinct().count() > 1
+
+
 def test_separator_scan(spark, texts, odd, empty, monkeypatch):
     monkeypatch.setattr(token_scan, "BLOCK_BYTES", 200)  # many documents run over blocks
     found = {r["doc_id"]: r["n_tokens"] for r in queries.op4_token_counts(spark, SF).collect()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import re
 import uuid
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import nullcontext, suppress
 from unicodedata import is_normalized
 
 import numpy as np
@@ -30,17 +32,34 @@ def settings(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or if unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = checkpoint.get() if checkpoint.isDefined() else f"/tmp/tidegate-{os.getpid()}"
+        found = checkpoint.get() if checkpoint.isDefined() else None
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"/tmp/tidegate-{os.getpid()}"
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tidegate/{what}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; what is still there when the driver ends is deleted then."""
+    root = f"{shared_dir(spark)}/tidegate/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root, quiet=True)
+    return f"{root}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+_roots: set[str] = set()
+
+
+def _delete(jvm, conf, path: str, quiet: bool = False) -> None:
+    with suppress(Exception) if quiet else nullcontext():
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -55,9 +74,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again, by Spark's own file systems."""
     for df in tables:
-        spark = df.sparkSession
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        context = df.sparkSession.sparkContext
+        _delete(context._jvm, context._jsc.hadoopConfiguration(), df.scratch_path)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, by: Column) -> DataFrame:

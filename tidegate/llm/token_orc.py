@@ -41,7 +41,10 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
     the file before the document), n_tokens, ids. A null text counts as empty and holds the end id alone; null
     doc_ids come first; rows with equal doc_id are all kept, those of different text in order of a hash of it; an
     empty table writes no row; other columns are ignored. Texts are shuffled once, by ranges, before they are
-    encoded: they are smaller than their ids.
+    encoded: they are smaller than their ids. Rows that repeat an id and its text may fall into several ranges.
+
+    Beside the files, path/_totals has a row for each: part, and base, the ids of all files before it; its window sees
+    a row for each file.
     """
     C.settings(docs.sparkSession)
     text = C.documents(docs, "doc_id", "text")
@@ -63,17 +66,26 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
             )
             before += int(offsets[-1])
 
-    ordered = text.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    keys = text.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keys.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     made = ordered.select("doc_id", "text").mapInArrow(encode, "part int, doc_id long, part_start long, n_tokens long, ids array<int>")
     made.write.options(**ORC_OPTIONS).orc(path)
+    sizes = _files(docs.sparkSession, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    base = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    sizes.select("part", base.alias("base")).coalesce(1).write.parquet(f"{path}/_totals")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("part int, doc_id long, part_start long, n_tokens long, ids array<int>").orc(path)
+
+
+def _bases(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("part int, base long").parquet(f"{path}/_totals")
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids. A filter on doc_id prunes stripes and row groups."""
-    rows = spark.read.schema("part int, doc_id long, part_start long, n_tokens long, ids array<int>").orc(path)
-    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return _files(spark, path).join(_bases(spark, path), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
@@ -97,7 +109,4 @@ def token_orc_digest(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     """
     spark = docs.sparkSession
     write_token_orc(docs, path, tokenizer, end_id)
-    rows = spark.read.schema("part int, doc_id long, part_start long, n_tokens long, ids array<int>").orc(path)
-    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return digests(rows).join(base, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
+    return digests(_files(spark, path)).join(_bases(spark, path), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
