@@ -159,6 +159,58 @@ def test_every_window_counts():
     assert toxicity.score_texts(net, pa.array([" ".join(words), "", "...", None]))[0] < 0.5
 
 
+def brute_scores(net, texts):
+    """Every text's score, one window and one word at a time, by the network's definition."""
+    p, h = net.p, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    known = {int(w): i for i, w in enumerate(net.vocabulary)}
+    vectors, out = {}, []
+    for text in texts:
+        _, codes, distinct = langid._words(pa.array([text or ""]))
+        words = [distinct[int(c)].as_py() for c in codes]
+        best = -np.inf
+        for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if words else ():
+            xs = []
+            for w in words[at : at + toxicity.WINDOW]:
+                if w not in vectors:
+                    x = toxicity.inputs(pa.array([w], pa.large_string()))
+                    vectors[w] = np.concatenate([p["E"][known.get(int(x.word[0]), toxicity.VOCABULARY)], sum(p["G"][c] for c in x.chars) / len(x.chars) ** 0.5]).astype(float)
+                xs.append(vectors[w])
+            states = []
+            for k, order in (("f", range(len(xs))), ("b", reversed(range(len(xs))))):
+                state, rows = np.zeros(h), {}
+                for t in order:
+                    a, u = xs[t] @ p[f"W{k}"] + p[f"b{k}"], p[f"U{k}"]
+                    z, r = sigmoid(a[:h] + state @ u[:, :h]), sigmoid(a[h : 2 * h] + state @ u[:, h : 2 * h])
+                    n = np.tanh(a[2 * h :] + r * (state @ u[:, 2 * h :]))
+                    state = (1 - z) * n + z * state
+                    rows[t] = state
+                states.append([rows[t] for t in range(len(xs))])
+            both = np.concatenate(states, axis=1)
+            weight = np.exp(np.tanh(both @ p["A"]) @ p["v"])
+            best = max(best, (weight / weight.sum()) @ both @ p["o"] + p["c"][0])
+        a, b = net.scale.astype(float)
+        out.append(sigmoid(a * best + b if words else min(0.0, b - 4)))
+    return out
+
+
+def test_toxicity_of_the_whole_table(spark, table, texts):
+    """The registered query's scores against the plain loop, by the network that its sample gives."""
+    net = toxicity.fit(table("documents"), table("labels"))
+    again = toxicity.fit(table("documents").repartition(7), table("labels").repartition(3))
+    assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p) and np.array_equal(net.scale, again.scale)
+    found = {r["doc_id"]: r["score"] for r in queries.op5_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    assert [found[d] for d, _ in texts] == pytest.approx(brute_scores(net, [t for _, t in texts]), abs=2e-4)
+
+
+def test_toxicity_sample(spark):
+    """Of texts that share an id the least is learned from, of labels the highest; held-out and long ones are not."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "x" * (toxicity.TRAIN_CHARS + 1)), (4, None), (5, "e"), (None, "f")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 1), (5, None), (None, 1), (6, 1)], "doc_id long, toxic int")
+    want = {d: x for d, x in ((1, ("a", 1)), (2, ("c", 0)), (4, ("", 1))) if zlib.crc32(str(d).encode()) % 5}
+    assert {r["doc_id"]: (r["text"], r["toxic"]) for r in toxicity.sample(docs, labels).collect()} == want
+
+
 def test_toxicity_odd(spark, odd, empty, table):
     labels = spark.createDataFrame([(1, 1, "x"), (1, 0, "x"), (8, 0, "x"), (None, 1, "x"), (9, None, "x")], "doc_id long, toxic int, text string")
     rows = toxicity.score(odd, labels).collect()

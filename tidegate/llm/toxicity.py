@@ -3,11 +3,14 @@
 A word enters as its own embedding, if enough documents of the sample hold it, and as the sum of the embeddings of its
 hashed character 4-grams. Windows of words, each overlapping the next by half, are scored all; a document's score is
 calibrated from its best window's.
+
+The sample is dealt into a fixed number of shards. In each round every shard is learned from by a task of its own, from
+the same parameters, which are then averaged: the result depends on the sample alone, not on the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +31,8 @@ TRAIN_WINDOWS = 12_000
 VOCABULARY, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8192, 1 << 15, 6, 8, 8, 8
 #: Documents of the sample that a word or 4-gram must stand in to be learned.
 LEAST_DOCUMENTS = 4
-EPOCHS, BATCH, RATE, DECAY = 4, 128, 0.01, 0.002
+#: Shards of the sample, rounds of averaging, and passes of a shard in a round; batches and steps of Adam.
+SHARDS, ROUNDS, EPOCHS, BATCH, RATE, DECAY = 8, 6, 2, 128, 0.01, 0.002
 #: Windows that run through the network together: their arrays stay in a core's cache.
 TOGETHER = 2048
 
@@ -85,6 +89,7 @@ class Network:
         for k in "fb":
             self.p |= {f"W{k}": new(d, 3 * h, scale=d**-0.5), f"U{k}": new(h, 3 * h, scale=h**-0.5), f"b{k}": np.zeros(3 * h, np.float32)}
         self.vocabulary = np.zeros(0, np.uint64)  # hashes of the words that have a row in E, ascending; others have the last row
+        self.word_odds, self.char_odds = np.zeros(1), np.zeros(CHAR_BUCKETS)  # log-odds of E's rows (0 in the last one) and of 4-grams
         self.scale = np.array([1.0, 0.0], np.float32)  # calibration of a document's best window
 
     def rows(self, word: np.ndarray) -> np.ndarray:
@@ -94,34 +99,30 @@ class Network:
         at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == word, at, VOCABULARY)
 
-    def begin(self, x: Inputs, codes: np.ndarray, offsets: np.ndarray, label: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def begin(self, base: np.ndarray, word: np.ndarray, in_word: np.ndarray, in_char: np.ndarray, rng: np.random.Generator) -> None:
         """Choose the vocabulary and begin the embeddings at the log-odds of words and 4-grams in labelled documents.
 
-        Returns for each distinct word the greatest log-odds among it and its 4-grams.
+        base: documents of label 0 and 1; in_word, in_char: rows of how many of them hold each word, each bucket's 4-grams.
         """
-        base = np.array([max(1, int((label == k).sum())) for k in (0, 1)])
-        lens = np.diff(x.offsets)
-        in_word, in_char = np.zeros((2, len(x.word)), np.int64), np.zeros((2, CHAR_BUCKETS), np.int64)
-        for k, a, b in zip(label.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):  # each document counts once
-            own = np.unique(codes[a:b])
-            in_word[k][own] += 1
-            per = lens[own]
-            grams = x.chars[np.repeat(x.offsets[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
-            in_char[k][np.unique(grams)] += 1
-
-        def odds(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        base = np.maximum(base, 1)
+
+        def odds(count: np.ndarray) -> np.ndarray:
             found = np.log((count[1] + 0.5) / (base[1] + 1)) - np.log((count[0] + 0.5) / (base[0] + 1))
-            return np.where(count.sum(0) >= LEAST_DOCUMENTS, found, 0), count.sum(0)
-
-        word_odds, n = odds(in_word)
-        frequent = np.flatnonzero(n >= LEAST_DOCUMENTS)
-        frequent = frequent[np.argsort(-np.abs(word_odds[frequent]), kind="stable")[:VOCABULARY]]
-        self.vocabulary, first = np.unique(x.word[frequent], return_index=True)
-        char_odds, _ = odds(in_char)
-        for table, values, at in (("E", word_odds[frequent][first], np.arange(len(first))), ("G", char_odds, np.arange(CHAR_BUCKETS))):
+            return np.where(count.sum(0) >= LEAST_DOCUMENTS, found, 0)
+
+        word_odds = odds(in_word)
+        frequent = np.flatnonzero(in_word.sum(0) >= LEAST_DOCUMENTS)
+        frequent = frequent[np.lexsort((word[frequent], -np.abs(word_odds[frequent])))[:VOCABULARY]]
+        frequent = frequent[np.argsort(word[frequent])]
+        self.vocabulary, self.char_odds = word[frequent], odds(in_char)
+        self.word_odds = np.append(word_odds[frequent], np.zeros(VOCABULARY + 1 - len(frequent)))
+        for table, values, at in (("E", word_odds[frequent], np.arange(len(frequent))), ("G", self.char_odds, np.arange(CHAR_BUCKETS))):
             width = self.p[table].shape[1]
             self.p[table][at] = (values[:, None] * (rng.standard_normal(width) * 0.25)).astype(np.float32)
-        return np.maximum(word_odds, np.maximum.reduceat(char_odds[x.chars], x.offsets[:-1]))
+
+    def signal(self, x: Inputs) -> np.ndarray:
+        """For each distinct word the greatest log-odds among it and its 4-grams."""
+        return np.maximum(self.word_odds[self.rows(x.word)], np.maximum.reduceat(self.char_odds[x.chars], x.offsets[:-1]))
 
     def embed(self, x: Inputs) -> np.ndarray:
         out = np.empty((len(x.word), WORD_DIM + CHAR_DIM), np.float32)
@@ -212,6 +213,11 @@ class Network:
         np.add.at(g["G"], x.chars, np.repeat(dembedded[:, WORD_DIM:] / np.sqrt(lens)[:, None], lens, axis=0))
         return loss, g
 
+    def calibrate(self, best: np.ndarray, label: np.ndarray) -> None:
+        some = np.isfinite(best)
+        if some.any():
+            self.scale[:] = _calibrate(best[some], label[some])
+
     def logits(self, x: Inputs, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Logits of all windows: inputs are projected once for each distinct word."""
         embedded, p = self.embed(x), self.p
@@ -243,50 +249,111 @@ def _best(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def train(texts: list[str], label: np.ndarray, seed: int = 7) -> Network:
-    """Fit to documents' labels: of a document labelled 1 only its most telling windows count as such.
+class Shard(NamedTuple):
+    """A part of the labelled sample, ready to be learned from."""
+
+    label: np.ndarray
+    x: Inputs
+    codes: np.ndarray
+    offsets: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+
+
+def shard_of(texts: pa.Array, label: np.ndarray) -> Shard:
+    offsets, codes, distinct = _words(texts)
+    return Shard(label, inputs(distinct), codes, offsets, *windows(offsets))
+
+
+def occurrences(s: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents of label 0 and 1 hold each distinct word, and each bucket's 4-grams."""
+    lens = np.diff(s.x.offsets)
+    in_word, in_char = np.zeros((2, len(s.x.word)), np.int64), np.zeros((2, CHAR_BUCKETS), np.int64)
+    for k, a, b in zip(s.label.tolist(), s.offsets[:-1].tolist(), s.offsets[1:].tolist()):  # each document counts once
+        own = np.unique(s.codes[a:b])
+        in_word[k][own] += 1
+        per = lens[own]
+        grams = s.x.chars[np.repeat(s.x.offsets[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
+        in_char[k][np.unique(grams)] += 1
+    return in_word, in_char
 
-    They are first those whose words tell the labels apart best, later those that the network itself scores highest;
-    of documents labelled 0 the windows that it scores highest join a draw of the others.
+
+def learn(net: Network, s: Shard, turn: int, which: int) -> dict[str, np.ndarray]:
+    """What a round's passes over one shard add to the parameters; net is left as it is.
+
+    Of a document labelled 1 only its most telling windows count as such: first those whose words tell the labels apart
+    best, later those that the network itself scores highest; of documents labelled 0 the windows that it scores highest
+    join a draw of the others.
     """
-    rng, net = np.random.default_rng(seed), Network(seed)
-    offsets, codes, distinct = _words(pa.array(texts, pa.string()))
-    begin, end, text = windows(offsets)
-    if not len(begin) or len(set(label.tolist())) < 2:
-        net.p["o"][:] = 0
-        net.scale[:] = [0.0, 4.0 * (2 * label.mean() - 1) if len(label) else -4.0]
-        return net
-    x = inputs(distinct)
-    signal = net.begin(x, codes, offsets, label, rng)
-    score = np.concatenate([_most(signal, codes, begin[a : a + 8192], end[a : a + 8192]) for a in range(0, len(begin), 8192)])
+    rng, start = np.random.default_rng([turn, which]), net.p
+    if not len(s.begin):
+        return {}
+    if turn == 0:
+        signal = net.signal(s.x)
+        score = np.concatenate([_most(signal, s.codes, s.begin[a : a + 8192], s.end[a : a + 8192]) for a in range(0, len(s.begin), 8192)])
+    else:
+        score = net.logits(s.x, s.codes, s.begin, s.end)
+    top = _best(score, s.text, len(s.label))
+    chosen = np.flatnonzero((s.label[s.text] == 1) & (score >= top[s.text] - (0.5 if turn == 0 else 1.0)))
+    clean, half = np.flatnonzero(s.label[s.text] == 0), TRAIN_WINDOWS // 2 // SHARDS
+    hard = clean[np.argsort(-score[clean], kind="stable")[:half]]
+    rest = np.union1d(hard, rng.choice(clean, min(len(clean), half), replace=False))
+    rows = np.concatenate([chosen, rest])
+    target = np.concatenate([np.ones(len(chosen)), np.zeros(len(rest))]).astype(np.float32)
+    importance = np.where(target > 0, 0.5 / max(1, len(chosen)), 0.5 / max(1, len(rest))).astype(np.float32) * len(rows)
+    net.p = {k: v.copy() for k, v in start.items()}
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     tick = 0
-    for turn in range(3):
-        top = _best(score, text, len(label))
-        chosen = np.flatnonzero((label[text] == 1) & (score >= top[text] - (0.5 if turn == 0 else 1.0)))
-        clean = np.flatnonzero(label[text] == 0)
-        hard = clean[np.argsort(-score[clean], kind="stable")[: TRAIN_WINDOWS // 2]]
-        draw = rng.choice(clean, min(len(clean), TRAIN_WINDOWS // 2), replace=False)
-        rest = np.union1d(hard, draw)
-        rows = np.concatenate([chosen, rest])
-        target = np.concatenate([np.ones(len(chosen)), np.zeros(len(rest))]).astype(np.float32)
-        importance = np.where(target > 0, 0.5 / max(1, len(chosen)), 0.5 / max(1, len(rest))).astype(np.float32) * len(rows)
-        for _ in range(EPOCHS):
-            for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
-                at, m = _steps(codes, begin[rows[part]], end[rows[part]])
-                used, at = np.unique(at, return_inverse=True)
-                _, grad = net.gradients(_subset(x, used), at.reshape(m.shape), m, target[part], importance[part])
-                tick += 1
-                for k, g in grad.items():
-                    first, second = adam[k]
-                    first += 0.1 * (g - first)
-                    second += 0.001 * (g * g - second)
-                    if k in "EG":
-                        net.p[k] *= 1 - RATE * DECAY
-                    net.p[k] -= (RATE * (first / (1 - 0.9**tick)) / (np.sqrt(second / (1 - 0.999**tick)) + 1e-8)).astype(np.float32)
-        score = net.logits(x, codes, begin, end)
-    best = _best(score, text, len(label))
-    net.scale[:] = _calibrate(best[np.isfinite(best)], label[np.isfinite(best)])
+    for _ in range(EPOCHS):
+        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+            at, m = _steps(s.codes, s.begin[rows[part]], s.end[rows[part]])
+            used, at = np.unique(at, return_inverse=True)
+            _, grad = net.gradients(_subset(s.x, used), at.reshape(m.shape), m, target[part], importance[part])
+            tick += 1
+            for k, g in grad.items():
+                # of the embeddings only the rows in use move
+                hit = np.flatnonzero(g.any(1)) if k in "EG" else slice(None)
+                first, second, g = adam[k][0], adam[k][1], g[hit]
+                first[hit] += 0.1 * (g - first[hit])
+                second[hit] += 0.001 * (g * g - second[hit])
+                step = RATE * (first[hit] / (1 - 0.9**tick)) / (np.sqrt(second[hit] / (1 - 0.999**tick)) + 1e-8)
+                net.p[k][hit] -= (step + (RATE * DECAY * net.p[k][hit] if k in "EG" else 0)).astype(np.float32)
+    moved, net.p = {k: v - start[k] for k, v in net.p.items()}, start
+    return moved
+
+
+def average(net: Network, moved: list[dict[str, np.ndarray]]) -> None:
+    """Move net by the shards' mean; a row of the embeddings by the mean of those shards that moved it."""
+    moved = [m for m in moved if m]
+    for k in net.p if moved else ():
+        parts = [m[k] for m in moved]
+        n = np.maximum(1, sum((x != 0).any(1) for x in parts))[:, None] if k in "EG" else len(parts)
+        net.p[k] = (net.p[k] + sum(parts) / n).astype(np.float32)
+
+
+def _untrained(label: np.ndarray) -> Network:
+    """Without documents of both labels every text scores alike."""
+    net = Network()
+    net.p["o"][:] = 0
+    net.scale[:] = [0.0, 4.0 * (2 * label.mean() - 1) if len(label) else -4.0]
+    return net
+
+
+def train(texts: list[str], label: np.ndarray) -> Network:
+    """Fit to documents' labels in this process, with the documents dealt into shards by their place."""
+    label = np.asarray(label)
+    if len(set(label.tolist())) < 2:
+        return _untrained(label)
+    shards = [shard_of(pa.array(texts[i::SHARDS], pa.string()), label[i::SHARDS]) for i in range(min(SHARDS, len(texts)))]
+    net, counted = Network(), [occurrences(s) for s in shards]
+    word, at = np.unique(np.concatenate([s.x.word for s in shards]), return_inverse=True)
+    in_word = np.stack([np.bincount(at, np.concatenate([c[0][k] for c in counted]), len(word)) for k in (0, 1)])
+    net.begin(np.bincount(label, minlength=2), word, in_word, sum(c[1] for c in counted), np.random.default_rng(7))
+    for turn in range(ROUNDS):
+        average(net, [learn(net, s, turn, i) for i, s in enumerate(shards)])
+    best = [_best(net.logits(s.x, s.codes, s.begin, s.end), s.text, len(s.label)) for s in shards]
+    net.calibrate(np.concatenate(best), np.concatenate([s.label for s in shards]))
     return net
 
 
@@ -323,17 +390,84 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """Learn from at most TRAIN_PER_LABEL documents of each label, drawn by a hash of doc_id; of several labels of one document the highest counts."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shard, doc_id, text, toxic) of at most TRAIN_PER_LABEL documents of each label, drawn by a hash of doc_id, written.
+
+    Of several labels of one document the highest counts, of several texts with one doc_id the least in order. Longer
+    texts than TRAIN_CHARS, held-out rows, and rows with a null doc_id or label are left out.
+    """
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = [r for k in (0, 1) for r in known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_LABEL).collect()]
-    label = {r["doc_id"]: r["toxic"] for r in drawn}
-    ids = F.broadcast(spark.createDataFrame([(k,) for k in label] or [], "doc_id long"))  # 2 * TRAIN_PER_LABEL rows at most
-    rows = C.documents(docs, "doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], np.array([label[r["doc_id"]] for r in rows], np.int64))
+    drawn = [tuple(r) for k in (0, 1) for r in known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_LABEL).collect()]
+    ids = F.broadcast(spark.createDataFrame(drawn, "doc_id long, toxic int"))  # 2 * TRAIN_PER_LABEL rows at most
+    text = C.documents(docs, "doc_id", "text").filter(F.length("text") <= TRAIN_CHARS)
+    rows = text.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
+    # a file for each shard, of one row group: so shards are read by different tasks
+    return C.written(rows.repartitionByRange(SHARDS, "shard").select("shard", "doc_id", "text", "toxic"), "sample")
+
+
+def _by_shard(rows: DataFrame, step: Callable[[Shard, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """step on every shard of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held).sort_by("doc_id")
+            for which in sorted(pc.unique(table.column("shard")).to_pylist()):
+                part = table.filter(pc.equal(table.column("shard"), which))
+                yield from step(shard_of(part.column("text").combine_chunks(), part.column("toxic").to_numpy().astype(np.int64)), which)
+
+    return rows.mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Network:
+    """Learn from the sample. Executors count, learn and score; the driver gets counts of at most VOCABULARY words and of
+    CHAR_BUCKETS 4-grams, each round's parameters of SHARDS shards, and the best windows' scores."""
+    C.settings(docs.sparkSession)
+    rows = sample(docs, labels)
+    base = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(base) < 2:
+        C.forget(rows)
+        return _untrained(np.repeat(list(base), list(base.values())) if base else np.zeros(0))
+
+    def count(s: Shard, which: int) -> Iterator[pa.RecordBatch]:
+        for kind, key, n in ((0, s.x.word.view(np.int64), occurrences(s)[0]), (1, np.arange(CHAR_BUCKETS), occurrences(s)[1])):
+            yield pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n[0]), pa.array(n[1])], ["kind", "key", "n0", "n1"])
+
+    counted = _by_shard(rows, count, "kind int, key long, n0 long, n1 long").groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = C.written(counted.filter((F.col("kind") == 1) | (F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS)), "counts")
+    odds = F.log((F.col("n1") + 0.5) / (base[1] + 1)) - F.log((F.col("n0") + 0.5) / (base[0] + 1))
+    words = np.array([tuple(r) for r in counted.filter("kind = 0").orderBy(F.desc(F.abs(odds)), "key").limit(VOCABULARY).select("key", "n0", "n1").collect()], np.int64).reshape(-1, 3)
+    in_char = np.zeros((2, CHAR_BUCKETS), np.int64)
+    for r in counted.filter("kind = 1").toLocalIterator():
+        in_char[:, r["key"]] = r["n0"], r["n1"]
+    net = Network()
+    net.begin(np.array([base[0], base[1]]), words[:, 0].copy().view(np.uint64), words[:, 1:].T, in_char, np.random.default_rng(7))
+    context = docs.sparkSession.sparkContext
+    for turn in range(ROUNDS):
+        shared = context.broadcast(net)
+
+        def step(s: Shard, which: int, shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            for k, v in learn(shared.value, s, turn, which).items():
+                yield pa.record_batch([pa.array([which], pa.int32()), pa.array([k]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["shard", "name", "moved"])
+
+        moved: dict[int, dict[str, np.ndarray]] = {}
+        for r in _by_shard(rows, step, "shard int, name string, moved binary").collect():
+            moved.setdefault(r["shard"], {})[r["name"]] = np.frombuffer(r["moved"], np.float32).reshape(net.p[r["name"]].shape)
+        average(net, [moved[k] for k in sorted(moved)])
+        shared.destroy()
+    shared = context.broadcast(net)
+
+    def judge(s: Shard, which: int) -> Iterator[pa.RecordBatch]:
+        best = _best(shared.value.logits(s.x, s.codes, s.begin, s.end), s.text, len(s.label))
+        yield pa.record_batch([pa.array([which] * len(best), pa.int32()), pa.array(np.arange(len(best))), pa.array(best.astype(float)), pa.array(s.label)], ["shard", "place", "best", "label"])
+
+    found = np.array(sorted(map(tuple, _by_shard(rows, judge, "shard int, place long, best double, label long").collect())))
+    net.calibrate(found[:, 2], found[:, 3])
+    C.forget(rows, counted)
+    return net
 
 
 def score(docs: DataFrame, labels: DataFrame, net: Network | None = None) -> DataFrame:
