@@ -433,15 +433,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         return _untrained(np.repeat(list(base), list(base.values())) if base else np.zeros(0))
 
     def count(s: Shard, which: int) -> Iterator[pa.RecordBatch]:
-        for kind, key, n in ((0, s.x.word.view(np.int64), occurrences(s)[0]), (1, np.arange(CHAR_BUCKETS), occurrences(s)[1])):
+        in_word, in_char = occurrences(s)
+        for kind, key, n in ((0, s.x.word.view(np.int64), in_word), (1, np.arange(CHAR_BUCKETS), in_char)):
             yield pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n[0]), pa.array(n[1])], ["kind", "key", "n0", "n1"])
 
     counted = _by_shard(rows, count, "kind int, key long, n0 long, n1 long").groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = C.written(counted.filter((F.col("kind") == 1) | (F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS)), "counts")
     odds = F.log((F.col("n1") + 0.5) / (base[1] + 1)) - F.log((F.col("n0") + 0.5) / (base[0] + 1))
-    words = np.array([tuple(r) for r in counted.filter("kind = 0").orderBy(F.desc(F.abs(odds)), "key").limit(VOCABULARY).select("key", "n0", "n1").collect()], np.int64).reshape(-1, 3)
+    words = np.array([tuple(r) for r in counted.filter((F.col("kind") == 0) & (F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS)).orderBy(F.desc(F.abs(odds)), "key").limit(VOCABULARY).select("key", "n0", "n1").collect()], np.int64).reshape(-1, 3)
     in_char = np.zeros((2, CHAR_BUCKETS), np.int64)
-    for r in counted.filter("kind = 1").toLocalIterator():
+    for r in counted.filter("kind = 1").collect():  # CHAR_BUCKETS rows
         in_char[:, r["key"]] = r["n0"], r["n1"]
     net = Network()
     net.begin(np.array([base[0], base[1]]), words[:, 0].copy().view(np.uint64), words[:, 1:].T, in_char, np.random.default_rng(7))
@@ -466,7 +466,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
 
     found = np.array(sorted(map(tuple, _by_shard(rows, judge, "shard int, place long, best double, label long").collect())))
     net.calibrate(found[:, 2], found[:, 3])
-    C.forget(rows, counted)
+    C.forget(rows)
     return net
 
 
