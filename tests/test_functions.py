@@ -28,6 +28,12 @@ CASES = [
     ("COSINE_SIMILARITY([1, 0], [1, 0])", 1.0), ("COSINE_SIMILARITY([0, 0], [1, 0])", 0.0), ("COSINE_SIMILARITY([1], [1, 0])", -1.0), ("L2_DISTANCE([0, 0], [3, 4])", 5.0), ("L2_DISTANCE([0], [3, 4])", math.inf), ("DOT([1, 2], [3, 4])", 11.0), ("INNER_PRODUCT([1], [3, 4])", 0.0),
     ("NULL AND 0", False), ("NULL OR 1", True), ("NOT NULL", None), ("NULL = NULL", None), ("NULL <=> NULL", True), ("1 IS DISTINCT FROM NULL", True), ("(NULL > 1) IS UNKNOWN", True), ("2 BETWEEN 1 AND NULL", None), ("1 IN (2, NULL)", None), ("'a' || NULL", None),
     ("7 / 2", 3.5), ("7 / 0", None), ("7 % 0", None), ("2 ^ 3", 1), ("6 & 3 | 8", 10), ("~0", -1), ("'a_c' LIKE 'a!_c' ESCAPE '!'", True), ("'abc' LIKE 'a!_c' ESCAPE '!'", False), ("'ABC' LIKE 'abc'", False), ("'10' > 9", True), ("0x1F", 31), ("X'4142'", b"AB"),
+    ("FLOOR(1e300)", 1e300), ("CEIL(-1e300)", -1e300), ("TRUNCATE(1e300, 0)", 1e300), ("TRUNCATE(-2.5, 0)", -2.0), ("PRINTF('%d|%f|%d|%s', 3.7, 2, '12', NULL)", "3|2.000000|12|"), ("PRINTF('100%% %x %d', 'a')", "100%% %x "),
+    ("LENGTH(LPAD('a', 4, 'é'))", 4), ("RPAD('a', 5, 'é')", "aéé"), ("LPAD('é', 4, 'ab')", "abé"), ("IS_TRUE(5)", True), ("IS_TRUE(0)", False), ("IS_FALSE(0)", True), ("IS_FALSE(NULL)", False), ("IS_UNKNOWN(NULL)", True),
+    ("GREATEST('a', 1)", "a"), ("LEAST('a', 1)", "1"), ("GREATEST(1, 2.5)", 2.5), ("1 < 2 < 3", True), ("3 > 2 > 1", False), ("(1 = 1) = TRUE", True), ("TRUE + 1", 2), ("(2 > 1) * 3", 3), ("1 << -1", None), ("1 << 3", 8),
+    ("JSON_OBJECT(CONCAT('a', 'b'), 1, 'c', 'x')", '{"ab":1,"c":"x"}'), ("'a1' REGEXP '[[:digit:]]'", True), ("'ab' REGEXP '^[[:alpha:]]+$'", True), ("REGEXP_REPLACE('a1', '(?P<n>[0-9])', '<$1>')", "a<1>"), ("'a1' REGEXP CONCAT('[[:dig', 'it:]]')", True),
+    ("DATE('2024/01/02')", "2024-01-02"), ("DATETIME('2024/01/02 03:04:05')", "2024-01-02 03:04:05"), ("HOUR('10:20:30')", 10), ("MINUTE('10:20')", 20), ("YEAR('2024-05')", 2024), ("TIME('10:20:30')", "10:20:30"),
+    ("UNICODE('A')", 65), ("JSON_PRETTY('[1]')", "[\n  1\n]"), ("@@version", "8.0.0"), ("ZEROBLOB(2)", "\0\0"), ("TANH(0)", 0.0), ("ATAN(1)", math.pi / 4), ("SINH(0)", 0.0), ("COT(1)", 1 / math.tan(1)),
 ]
 
 

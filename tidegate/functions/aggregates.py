@@ -23,13 +23,14 @@ def group_concat(args: list[str], distinct: bool, order: str | None = None, sepa
 
 
 def json_arrayagg(args: list[str], distinct: bool, where: str = "", **_) -> str:
-    """NULLs stay."""
+    """NULLs stay. The order is that in which rows arrive: after a shuffle, any."""
     return f"to_json(transform(collect_list(struct({args[0]} AS x)){where}, r -> r.x))"
 
 
 def json_objectagg(args: list[str], distinct: bool, where: str = "", **_) -> str:
-    """NULL keys are skipped; keys are sorted, of equal ones the last counts."""
-    return f"to_json(map_from_entries(array_sort(filter(collect_list(struct(cast(({args[0]}) AS string) AS k, {args[1]} AS v)){where}, e -> e.k IS NOT NULL))), map('ignoreNullFields', 'false'))"
+    """NULL keys are skipped; of equal ones the last counts, in the order in which rows arrive; keys are shown sorted."""
+    entries = f"map_entries(map_from_entries(filter(collect_list(struct(cast(({args[0]}) AS string) AS k, {args[1]} AS v)){where}, e -> e.k IS NOT NULL)))"
+    return f"to_json(map_from_entries(array_sort({entries}, (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END)), map('ignoreNullFields', 'false'))"
 
 
 #: STDDEV and VARIANCE are those of the population.

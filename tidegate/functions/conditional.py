@@ -32,7 +32,7 @@ def truth(x: str) -> str:
 def test(value: str):
     if value == "NULL":
         return lambda x: f"(({x}) IS NULL)"
-    return lambda x: f"(({x}) IS {value})"
+    return lambda x: f"({truth(x)} IS {value})"
 
 
 FUNCTIONS = {

@@ -6,9 +6,10 @@ import re
 
 
 def moment(x: str) -> str:
-    """A value as a timestamp: ISO text, `now`, or seconds since 1970; NULL if it is none of these."""
+    """A value as a timestamp: ISO text, dates with slashes, a time alone (of the year 0), `now`, or seconds since 1970; else NULL."""
     s = f"cast(({x}) AS string)"
-    return f"(CASE WHEN lower({s}) = 'now' THEN localtimestamp() ELSE coalesce(try_cast({s} AS timestamp_ntz), cast(timestamp_seconds(try_cast({s} AS double)) AS timestamp_ntz)) END)"
+    iso = rf"CASE WHEN {s} rlike '^\\s*[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?\\s*$' THEN concat('0000-01-01 ', trim({s})) WHEN {s} LIKE '%/%' THEN replace({s}, '/', '-') ELSE {s} END"
+    return f"(CASE WHEN lower(trim({s})) = 'now' THEN localtimestamp() ELSE coalesce(try_cast({iso} AS timestamp_ntz), cast(timestamp_seconds(try_cast({s} AS double)) AS timestamp_ntz)) END)"
 
 
 def formatted(pattern: str):

@@ -26,14 +26,22 @@ def kind(doc: str, path: str | None = None) -> str:
 def make_object(*a: str) -> str:
     if len(a) % 2:
         raise ValueError("JSON_OBJECT needs keys and values in pairs")
+    if not all(re.fullmatch(r"'(?:[^'\\]|\\.)*'", k) for k in a[::2]):  # keys of rows: member by member, in the order given
+        members = [f"concat({FUNCTIONS['JSON_QUOTE'](k)}, ':', {_element(v)})" for k, v in zip(a[::2], a[1::2])]
+        return f"concat('{{', concat_ws(',', {', '.join(members)}), '}}')"
     pairs = ", ".join(f"{k}, {v}" for k, v in zip(a[::2], a[1::2]))
     return f"to_json(named_struct({pairs}), map('ignoreNullFields', 'false'))" if a else "'{}'"
 
 
+def _element(x: str) -> str:
+    """A value of any type as JSON."""
+    one = f"substring(to_json(named_struct('a', {x}), map('ignoreNullFields', 'false')), 6)"
+    return f"left({one}, length({one}) - 1)"
+
+
 def make_array(*a: str) -> str:
     """Elements of any types, one by one."""
-    one = [f"substring(to_json(named_struct('a', {x}), map('ignoreNullFields', 'false')), 6)" for x in a]
-    return "concat('[', concat_ws(',', " + ", ".join(f"left({x}, length({x}) - 1)" for x in one) + "), ']')" if a else "'[]'"
+    return f"concat('[', concat_ws(',', {', '.join(map(_element, a))}), ']')" if a else "'[]'"
 
 
 FUNCTIONS = {

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 
 def _d(x: str) -> str:
     return f"cast(({x}) AS double)"
 
 
+#: From here on a double has no digits behind the point, and does not fit a bigint.
+_WHOLE = "9007199254740992D"
+
+
 def _whole(name: str):
-    return lambda x: f"cast({name}({_d(x)}) AS double)"
+    return lambda x: f"(CASE WHEN abs({_d(x)}) < {_WHOLE} THEN cast({name}({_d(x)}) AS double) ELSE {_d(x)} END)"
 
 
 def _plain(name: str):
@@ -17,7 +23,8 @@ def _plain(name: str):
 
 def truncate(x: str, n: str = "0") -> str:
     """Toward zero, at n decimal places."""
-    return f"(sign({_d(x)}) * floor(abs({_d(x)}) * pow(10D, {n})) / pow(10D, {n}))"
+    scaled = f"abs({_d(x)}) * pow(10D, {n})"
+    return f"(CASE WHEN {scaled} < {_WHOLE} THEN sign({_d(x)}) * floor({scaled}) / pow(10D, {n}) ELSE {_d(x)} END)"
 
 
 def logarithm(a: str, b: str | None = None) -> str:
@@ -28,8 +35,17 @@ def logarithm(a: str, b: str | None = None) -> str:
 
 
 def _extreme(name: str):
-    """NULL if any argument is NULL."""
-    return lambda *a: f"(CASE WHEN {' OR '.join(f'({x}) IS NULL' for x in a)} THEN NULL ELSE {name}({', '.join(a)}) END)"
+    """NULL if any argument is NULL. Arguments of one type keep it; numbers and texts mixed compare as text."""
+
+    def template(*a: str) -> str:
+        if len(a) == 1:
+            return f"({a[0]})"
+        kinds = [set() if re.fullmatch(r"NULL", x) else {"text"} if x.startswith("'") else {"number"} if re.fullmatch(r"-?[\d.]+(e[+-]?\d+)?[LD]?", x, re.I) else {"?"} for x in a]
+        mixed = {"text", "number"} <= set().union(*kinds)
+        shown = [f"cast(({x}) AS string)" for x in a] if mixed else a
+        return f"(CASE WHEN {' OR '.join(f'({x}) IS NULL' for x in a)} THEN NULL ELSE {name}({', '.join(shown)}) END)"
+
+    return template
 
 
 def _inside(name: str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def _bytes(s: str) -> str:
     return f"cast(({s}) AS binary)"
@@ -37,15 +39,35 @@ def instr(hay: str, needle: str) -> str:
 
 def pad(side: str):
     def template(s: str, n: str, fill: str = "' '") -> str:
-        left = substr(s, "1", n)
-        return f"(CASE WHEN octet_length({s}) >= ({n}) THEN {left} WHEN ({fill}) = '' THEN ({s}) ELSE {side}(({s}), cast(({n}) - octet_length({s}) + length({s}) AS int), {fill}) END)"
+        """n bytes; a fill of several bytes may be cut within a character."""
+        left, s = substr(s, "1", n), f"cast(({s}) AS string)"
+        filled = f"substring({_bytes(f'repeat({fill}, cast(({n}) AS int))')}, 1, cast(({n}) AS int) - octet_length({s}))"
+        parts = [filled, _bytes(s)] if side == "lpad" else [_bytes(s), filled]
+        return f"(CASE WHEN octet_length({s}) >= ({n}) THEN {left} WHEN ({fill}) = '' THEN {s} ELSE cast(concat({', '.join(parts)}) AS string) END)"
 
     return template
 
 
 def printf(form: str, *args: str) -> str:
-    """%s, %d, %i and %f."""
-    return f"format_string(replace({form}, '%i', '%d'){''.join(', ' + a for a in args)})"
+    """%s, %d and %i (cut toward zero), %f (six places), each with the next argument, nothing for what is no number.
+
+    A format that is no literal is read for each row, with the arguments as texts.
+    """
+    text = re.fullmatch(r"'((?:[^'\\]|\\.)*)'", form.strip(), re.DOTALL)
+    if not text:
+        return f"format_string(regexp_replace({form}, '%[dif]', '%s'){''.join(f', cast(({a}) AS string)' for a in args)})"
+    given, parts = iter(args), []
+    for plain, spec in re.findall(r"((?:[^%]|%(?![sdif]))+)|%([sdif])", text[1]):
+        if plain:
+            parts.append(f"'{plain}'")
+            continue
+        x = next(given, None)
+        if x is None:
+            continue
+        number = f"try_cast(({x}) AS double)"
+        shown = f"cast(({x}) AS string)" if spec == "s" else f"format_string('%f', {number})" if spec == "f" else f"cast(cast({number} AS bigint) AS string)"
+        parts.append(f"if(({x if spec == 's' else number}) IS NULL, '', {shown})")
+    return f"concat({', '.join(parts) or chr(39) * 2})"
 
 
 def char(*codes: str) -> str:
