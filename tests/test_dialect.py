@@ -28,7 +28,7 @@ def test_refused(sql):
     ("SELECT a FROM t ORDER BY a", "ORDER BY `a` ASC NULLS LAST"),
     ("SELECT a FROM t ORDER BY a DESC", "ORDER BY `a` DESC NULLS FIRST"),
     ("SELECT a FROM t ORDER BY a DESC NULLS LAST", "ORDER BY `a` DESC NULLS LAST"),
-    ("SELECT a, b, SUM(c) FROM t GROUP BY a", "first(`b`) AS `b`"),
+    ("SELECT a, b, SUM(c) FROM t GROUP BY a", "min_by(`b`, coalesce(_place, 9223372036854775807L)) AS `b`"),
     ("SELECT SUM(a) FILTER (WHERE b > 1) OVER (ORDER BY c) FROM t", "CASE WHEN (`b` > 1) THEN `a` END"),
     ("SELECT 1 UNION SELECT 2 INTERSECT SELECT 3", "(SELECT 1 UNION SELECT 2) INTERSECT (SELECT 3)"),
     ("SELECT STDDEV(a) FROM t", "stddev_pop"),

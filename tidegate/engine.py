@@ -1,19 +1,23 @@
 """The engine: tables, views and policies around a Spark session, and statements of the dialect on them.
 
-Tables are Parquet data that no statement changes in place: each one makes the next state, so a transaction is a copy
-of the map of names. Queries become one Spark SQL text; rows of changes are computed by joins on hidden row ids.
+Tables are lists of Parquet files that no statement changes in place: each one makes the next list, so a transaction is
+a copy of the map of names. An INSERT adds files; an UPDATE or DELETE writes only those files anew in which it finds
+rows. Queries become one Spark SQL text; rows of changes are computed by joins on hidden row ids.
 """
 
 from __future__ import annotations
 
 import copy
+import re
 import time
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from types import SimpleNamespace as Record
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate import types
@@ -27,9 +31,9 @@ from tidegate.operators.temporal import CREATED, DELETED
 from tidegate.plans import explain, statistics
 from tidegate.session import dialect_session
 from tidegate.sources import foreign, parquet
-from tidegate.storage import written
+from tidegate.storage import add_files, canonical, delete_files, new_path, read_files, written
 
-ROW = "_row"
+ROW, FILE, PART = "_row", "_file", "_partition"
 HIDDEN = [ROW, CREATED, DELETED]
 #: Triggers run row by row on the driver: rows of one statement, and triggers fired by triggers, at most.
 MOST_TRIGGER_ROWS, MOST_TRIGGER_DEPTH = 1000, 16
@@ -44,6 +48,14 @@ class Table:
     partition: Record | None = None
     secured: bool = False
     kind: str = "table"
+    files: tuple | None = ()  # paths; None if rows are not those of files
+    root: str = ""
+
+    @property
+    def parted(self) -> bool:
+        """Whether rows are routed to partitions, which lie in folders of their own."""
+        p = self.partition
+        return p is not None and (p.how == "RANGE" and bool(p.bounds) or p.how in ("HASH", "LIST") and p.n > 0)
 
     @property
     def names(self) -> list[str]:
@@ -81,6 +93,7 @@ class Engine:
         self.spark = dialect_session(spark)
         self.folder, self.user, self.role = folder, user, role
         self.state, self.saved, self.variables, self.firing, self.json = State(), [], {}, 0, False
+        self.past: set[str] = set()  # files that some state had
         self.filters: Counter = Counter()
 
     def __enter__(self) -> Engine:
@@ -103,7 +116,7 @@ class Engine:
             json.register(self.spark)
             self.json = True
         try:
-            return self.run(StatementReader(text, self.scope(args)).statement())
+            return self.run(StatementReader(text, self.scope(args, run=not text.lstrip().upper().startswith("EXPLAIN"))).statement())
         except Exception:
             self.state = before  # a statement that fails changes nothing
             raise
@@ -111,11 +124,11 @@ class Engine:
     query = execute = sql
 
     def translate(self, text: str, args: list | None = None) -> str:
-        """The Spark SQL of a query."""
-        return StatementReader(text, self.scope(args)).statement().sql
+        """The Spark SQL of a query; nothing runs."""
+        return StatementReader(text, self.scope(args, run=False)).statement().sql
 
-    def scope(self, args: list | None = None) -> Scope:
-        return Scope(table=self.resolve, args=list(args or []), recursive=self.recursion)
+    def scope(self, args: list | None = None, run: bool = True) -> Scope:
+        return Scope(table=self.resolve, args=list(args or []), recursive=self.recursion if run else self.unrun)
 
     def run(self, s: Record) -> DataFrame:
         if s.kind == "query":
@@ -149,6 +162,8 @@ class Engine:
             rows = t.rows
         else:
             rows = temporal.live(t.rows) if as_of is None else temporal.as_of(t.rows, temporal.seconds(as_of))
+        if t.parted and PART in rows.columns:  # always true; with a value for the column it names the folders to read
+            rows = rows.filter(F.col(PART).eqNullSafe(self.partition(t)))
         rows = rows.select(*[F.col(f"`{c}`") for c in t.names])
         if t.secured and self.user is not None:
             rows = rows.filter(self.policy(t, "SELECT"))
@@ -180,16 +195,64 @@ class Engine:
         if t is None:
             raise DialectError(f"no table {wanted}")
         if t.kind == "external":
-            t = replace(t, rows=written(self.stamped(t.rows)), kind="table")
-            self.state.tables[key] = t
+            self.store(replace(t, kind="table"), self.stamped(t.rows))
+            t = self.state.tables[key]
         return t
 
     def stamped(self, rows: DataFrame) -> DataFrame:
         batch = uuid.uuid4().hex[:12]
         return rows.withColumn(ROW, F.concat(F.lit(f"{batch}-"), F.monotonically_increasing_id().cast("string"))).withColumn(CREATED, F.lit(int(time.time())).cast("long")).withColumn(DELETED, F.lit(0).cast("long"))
 
+    # tables as lists of files
+
+    def partition(self, t: Table) -> Column:
+        p = t.partition
+        return partitions.route(p.column, p.how, p.bounds, p.n)
+
+    def added(self, t: Table, rows: DataFrame) -> tuple[str, list[str]]:
+        """The table's folder, and the files there that the rows are written to; rows of a partition lie by themselves."""
+        root = t.root or new_path(self.spark, "table")
+        rows = rows.select(*[F.col(f"`{c}`") for c in t.names], *HIDDEN)
+        return root, add_files(rows.withColumn(PART, self.partition(t)), root, PART) if t.parted else add_files(rows, root)
+
+    def read(self, t: Table, files: list[str], located: bool = False) -> DataFrame:
+        schema = self.empty(t.columns).schema
+        return read_files(self.spark, schema.add(PART, "string") if t.parted else schema, files, PART if t.parted else None, FILE if located else None)
+
+    def with_files(self, t: Table, root: str, files: list[str]) -> Table:
+        new = replace(t, rows=self.read(t, files), files=tuple(files), root=root)
+        self.state.tables[t.name.lower()] = new
+        return new
+
     def store(self, t: Table, rows: DataFrame) -> None:
-        self.state.tables[t.name.lower()] = replace(t, rows=written(rows.select(*[F.col(f"`{c}`") for c in t.names], *HIDDEN)))
+        """The table with these rows instead of its own."""
+        self.with_files(t, *self.added(t, rows))
+
+    def append(self, t: Table, rows: DataFrame) -> None:
+        if t.files is None:
+            self.store(t, t.rows.select(*t.names, *HIDDEN).unionByName(rows.select(*t.names, *HIDDEN)))
+            return
+        root, files = self.added(t, rows)
+        self.with_files(t, root, [*t.files, *files])
+
+    def located(self, t: Table) -> DataFrame:
+        """The table's rows with the file that each lies in."""
+        return self.read(t, list(t.files), located=True) if t.files else t.rows.withColumn(FILE, F.lit(None).cast("string"))
+
+    def rewrite(self, t: Table, hits: DataFrame, change: Callable[[DataFrame], DataFrame], fresh: DataFrame | None = None) -> None:
+        """Change the rows that hits(_row, _file) names: only their files are written anew. fresh: further rows."""
+        if t.files is None:
+            rows = change(t.rows).select(*t.names, *HIDDEN)
+            self.store(t, rows if fresh is None else rows.unionByName(fresh.select(*t.names, *HIDDEN)))
+            return
+        touched = {canonical(r[0]) for r in hits.select(FILE).distinct().collect()}  # at most the table's files
+        kept, root, new = [f for f in t.files if f not in touched], t.root, []
+        if touched:
+            root, new = self.added(t, change(self.read(t, [f for f in t.files if f in touched])))
+        if fresh is not None:
+            root, more = self.added(replace(t, root=root), fresh)
+            new += more
+        self.with_files(t, root, [*kept, *new])
 
     def view_sql(self, view: Record) -> str:
         reader = Translator("SELECT 1", self.scope())
@@ -197,6 +260,11 @@ class Engine:
         body = reader.query()
         return f"(SELECT * FROM ({body}) AS _v({', '.join(map(name, view.columns))}))" if view.columns else f"({body})"
 
+    def unrun(self, cte: str, columns: list[str], base: str, step: str, earlier: list[str]) -> str:
+        """What stands for a recursion where nothing may run: the rows that it begins with."""
+        first = self.spark.sql((f"WITH {', '.join(earlier)} " if earlier else "") + base)
+        return self.shown(f"_recursive_{cte}", first.toDF(*columns) if columns else first).strip("`")
+
     def recursion(self, cte: str, columns: list[str], base: str, step: str, earlier: list[str]) -> str:
         """WITH RECURSIVE ... UNION, by a fixed point on the driver's side; the name of a view of its rows."""
         head = f"WITH {', '.join(earlier)} " if earlier else ""
@@ -248,8 +316,27 @@ class Engine:
         return self.spark.createDataFrame(rows, "Field string, Type string, `Null` string, `Key` string, `Default` string, Extra string")
 
     def do_show_create(self, s: Record) -> DataFrame:
-        self.resolve(s.table)
-        t = self.state.tables[s.table.lower()]
+        return self.spark.createDataFrame([self.ddl(s.table)], "table_name string, create_statement string")
+
+    def export(self) -> list[str]:
+        """Statements that make all definitions again: tables, views, materialized views, indexes, triggers."""
+        st = self.state
+        out = [self.ddl(n)[1] for n in [*st.tables, *st.views, *st.materialized]]
+        for i in st.indexes.values():
+            out.append(f"CREATE {'UNIQUE ' if i.unique else ''}INDEX {i.name} ON {i.table} ({', '.join(i.columns)})")
+        for g in st.triggers.values():
+            test = f" WHEN {text_of(g.test)}" if g.test else ""
+            out.append(f"CREATE TRIGGER {g.name} {g.when}{' OF' if g.when == 'INSTEAD' else ''} {g.event} ON {g.table}{test} BEGIN {' '.join(text_of(b) + ';' for b in g.body)} END")
+        return out
+
+    def ddl(self, wanted: str) -> tuple[str, str]:
+        for kind, views in (("VIEW", self.state.views), ("MATERIALIZED VIEW", self.state.materialized)):
+            if wanted.lower() in views:
+                v = views[wanted.lower()]
+                columns = f" ({', '.join(v.columns)})" if v.columns else ""
+                return v.name, f"CREATE {kind} {v.name}{columns} AS {text_of(v.tokens)}"
+        self.resolve(wanted)
+        t = self.state.tables[wanted.lower()]
         parts = [f"{c.name} {c.type}{' NOT NULL' if c.not_null else ''}{f' DEFAULT {c.default}' if c.default else ''}{' AUTO_INCREMENT' if c.auto else ''}" for c in t.columns]
         for k in t.constraints:
             if k.kind in ("primary", "unique"):
@@ -258,7 +345,11 @@ class Engine:
                 parts.append(f"CHECK ({k.sql})")
             else:
                 parts.append(f"FOREIGN KEY ({', '.join(k.columns)}) REFERENCES {k.table} ({', '.join(k.target)}) ON DELETE {k.delete} ON UPDATE {k.update}")
-        return self.spark.createDataFrame([(t.name, f"CREATE TABLE {t.name} ({', '.join(parts)})")], "table_name string, create_statement string")
+        p, by = t.partition, ""
+        if p:
+            bounds = ", ".join(f"PARTITION {n} VALUES LESS THAN {'MAXVALUE' if b is None else f'({b})'}" for n, b in p.bounds or [])
+            by = f" PARTITION BY {p.how}({p.column})" + (f" ({bounds})" if bounds else f" PARTITIONS {p.n}")
+        return t.name, f"CREATE TABLE {t.name} ({', '.join(parts)}){by}"
 
     def do_show_index(self, s: Record) -> DataFrame:
         rows = [(i.table, i.name, ",".join(i.columns), bool(i.unique)) for i in self.state.indexes.values() if i.table.lower() == s.table.lower()]
@@ -273,11 +364,18 @@ class Engine:
         return out if out is not None else self.affected()
 
     def do_vacuum(self, s: Record) -> DataFrame:
-        """Deleted versions go, and files are written anew."""
+        """Deleted versions go, files are written anew, and files that neither this state nor an open transaction has are deleted."""
         for n in [s.table] if s.table else list(self.state.tables):
             t = self.state.tables.get(n.lower())
             if t and t.kind != "external":
                 self.store(t, temporal.live(t.rows))
+                self.past |= set(t.files or ())
+        states = [self.state, *(state for _, state in self.saved)]
+        used = {f for state in states for t in state.tables.values() for f in t.files or ()}
+        derived = any(t.files is None for state in states for t in state.tables.values())  # may still read any file
+        if not derived:
+            delete_files(self.spark, sorted(self.past - used))
+            self.past &= used
         return self.affected()
 
     def do_nothing(self, s: Record) -> DataFrame:
@@ -309,14 +407,17 @@ class Engine:
                 raise DialectError("columns need different names")
             rows = rows.select(*[F.col(f"`{f.name}`").cast(types.spark_type(types.dialect_type(f.dataType))).alias(f.name) for f in rows.schema.fields])
             s.columns = [Record(name=f.name, type=types.dialect_type(f.dataType), not_null=False, default=None, auto=False, dims=0) for f in rows.schema.fields]
-            versions = written(self.stamped(rows))
+            versions = self.stamped(rows)
         else:
-            versions = self.empty(s.columns)
+            versions = None
         for k in s.constraints:
             if k.kind == "foreign" and not k.target:
                 parent = self.table(k.table)
                 k.target = next((p.columns for p in parent.constraints if p.kind == "primary"), parent.names[:1])
-        self.state.tables[s.name.lower()] = Table(s.name, tuple(s.columns), versions, tuple(s.constraints), s.partition)
+        t = Table(s.name, tuple(s.columns), self.empty(s.columns), tuple(s.constraints), s.partition)
+        self.state.tables[s.name.lower()] = t
+        if versions is not None:
+            self.store(t, versions)
         return self.affected()
 
     def do_create_collection(self, s: Record) -> DataFrame:
@@ -396,9 +497,12 @@ class Engine:
         self.state.triggers.setdefault(s.name.lower(), s)
         return self.affected()
 
-    def fire(self, t: Table, event: str, old: DataFrame | None, new: DataFrame | None) -> None:
-        """Run the table's triggers, one changed row after the other, by the driver: for small changes only."""
-        mine = [g for g in self.state.triggers.values() if g.table.lower() == t.name.lower() and g.event == event]
+    def fire(self, t: Table, event: str, old: DataFrame | None, new: DataFrame | None, before: bool = False) -> None:
+        """Run the table's triggers, one changed row after the other, by the driver: for small changes only.
+
+        BEFORE triggers run while the table is still as it was, the others once it is changed.
+        """
+        mine = [g for g in self.state.triggers.values() if g.table.lower() == t.name.lower() and g.event == event and (g.when == "BEFORE") == before]
         if not mine:
             return
         if self.firing >= MOST_TRIGGER_DEPTH:
@@ -493,25 +597,36 @@ class Engine:
             new = F.expr(f"cast({s.column.default or 'NULL'} AS {types.spark_type(s.column.type)})")
             if s.column.not_null and s.column.default is None:
                 constraints.demand(temporal.live(t.rows), f"NOT NULL: {s.column.name} needs a default")
-            put(columns=(*t.columns, s.column), rows=t.rows.withColumn(s.column.name, new), constraints=(*t.constraints, *s.constraints))
+            put(columns=(*t.columns, s.column), rows=t.rows.withColumn(s.column.name, new), constraints=(*t.constraints, *s.constraints), files=None)
         elif s.action == "drop_column":
             t.column(s.name)
-            put(columns=tuple(c for c in t.columns if c.name.lower() != s.name.lower()), rows=t.rows.drop(s.name), constraints=tuple(k for k in t.constraints if s.name.lower() not in map(str.lower, getattr(k, "columns", []))))
+            if t.partition and t.partition.column.lower() == s.name.lower():
+                raise DialectError(f"{s.table} is partitioned by {s.name}")
+            put(columns=tuple(c for c in t.columns if c.name.lower() != s.name.lower()), rows=t.rows.drop(s.name), files=None, constraints=tuple(k for k in t.constraints if s.name.lower() not in map(str.lower, getattr(k, "columns", []))))
         elif s.action == "rename_column":
             old = t.column(s.name)
             new = copy.copy(old)
             new.name = s.to
-            swap = lambda k: Record(**{**vars(k), "columns": [s.to if c.lower() == s.name.lower() else c for c in k.columns]}) if hasattr(k, "columns") else k
-            put(columns=tuple(new if c is old else c for c in t.columns), rows=t.rows.withColumnRenamed(old.name, s.to), constraints=tuple(map(swap, t.constraints)))
+            if s.to.lower() != s.name.lower() and s.to.lower() in map(str.lower, t.names):
+                raise DialectError(f"{s.table} has {s.to} already")
+            part = copy.copy(t.partition)
+            if part and part.column.lower() == s.name.lower():
+                part.column = s.to
+            put(columns=tuple(new if c is old else c for c in t.columns), rows=t.rows.withColumnRenamed(old.name, s.to), partition=part, files=None)
+            self.renamed(key, key, {s.name.lower(): s.to})
         elif s.action == "rename":
-            self.state.tables[s.to.lower()] = replace(t, name=s.to)
+            if s.to.lower() != key and not self.free(s.to.lower(), Record(name=s.to, quiet=False)):
+                return self.affected()
             del self.state.tables[key]
+            self.state.tables[s.to.lower()] = replace(t, name=s.to)
+            self.renamed(key, s.to, {})
         elif s.action == "add_constraint":
             k = s.constraint
             if k.kind == "foreign" and not k.target:
                 parent = self.table(k.table)
                 k.target = next((p.columns for p in parent.constraints if p.kind == "primary"), parent.names[:1])
-            self.check(replace(t, constraints=(k,)), temporal.live(t.rows), temporal.live(t.rows))
+            rows = temporal.live(t.rows)
+            self.check(replace(t, constraints=(k,)), rows, rows)
             put(constraints=(*t.constraints, k))
         elif s.action == "drop_constraint":
             left = tuple(k for k in t.constraints if k.name.lower() != s.name.lower())
@@ -520,9 +635,45 @@ class Engine:
             put(constraints=left)
         return self.affected()
 
+    def renamed(self, old: str, new: str, columns: dict[str, str]) -> None:
+        """Whatever names the table, or columns of it, by their old names gets the new ones."""
+        swap = lambda names: [columns.get(c.lower(), c) for c in names]
+
+        def text(sql: str) -> str:
+            return re.sub(r"'(?:[^'\\]|\\.)*'|`((?:[^`]|``)+)`", lambda m: name(columns[m[1].lower()]) if m[1] and m[1].lower() in columns else m[0], sql)
+
+        def constraint(k: Record, own: bool) -> Record:
+            k = copy.copy(k)
+            if own and hasattr(k, "columns"):
+                k.columns = swap(k.columns)
+            if own and k.kind == "check":
+                k.sql = text(k.sql)
+            if k.kind == "foreign" and k.table.lower() == old:
+                k.table, k.target = new, swap(k.target)
+            return k
+
+        st = self.state
+        for key, t in st.tables.items():
+            st.tables[key] = replace(t, constraints=tuple(constraint(k, key == new.lower()) for k in t.constraints))
+        for holder in (st.indexes, st.triggers, st.policies):
+            for key, x in list(holder.items()):
+                if x.table.lower() != old:
+                    continue
+                x = copy.copy(x)
+                x.table = new
+                if hasattr(x, "columns"):
+                    x.columns = swap(x.columns)
+                if holder is st.policies:
+                    x.using, x.check = text(x.using), text(x.check)
+                    del holder[key]
+                    key = f"{new}.{x.name}".lower()
+                holder[key] = x
+
     # transactions: copies of the state
 
     def do_begin(self, s: Record) -> DataFrame:
+        if any(not n for n, _ in self.saved):
+            raise DialectError("a transaction is open already")
         self.saved = [("", self.state.copy())]
         return self.affected()
 
@@ -605,7 +756,9 @@ class Engine:
                 constraints.demand(new.filter(F.size(F.col(c.name)) != c.dims), f"VECTOR: {c.name} has {c.dims} dimensions")
         for k in t.constraints:
             if k.kind in ("primary", "unique"):
-                constraints.demand(constraints.duplicates(after, k.columns), f"UNIQUE: {t.name} has equal {', '.join(k.columns)}")
+                # only keys of new rows can have become equal to others: a semi-join with these few
+                same = after if new is after else after.join(new.select(*k.columns).distinct(), list(k.columns), "left_semi")
+                constraints.demand(constraints.duplicates(same, k.columns), f"UNIQUE: {t.name} has equal {', '.join(k.columns)}")
             elif k.kind == "check":
                 constraints.demand(new.filter(F.expr(f"NOT coalesce({k.sql}, TRUE)")), f"CHECK: {k.sql}")
             elif k.kind == "foreign":
@@ -631,7 +784,7 @@ class Engine:
                 given = dict(zip(columns, r))
                 cells = [given[c.name] if given.get(c.name) is not None else default[c.name] for c in t.columns]
                 filled.append(f"SELECT {i}L AS _pos, " + ", ".join(f"try_cast({x} AS {types.spark_type(c.type)}) AS {name(c.name)}" for x, c in zip(cells, t.columns)))
-            out = self.spark.sql(" UNION ALL ".join(filled))
+            out = self.spark.sql(" UNION ALL ".join(filled)) if len(filled) < 2 or any("SELECT" in f[6:] for f in filled) else self.inline(t, filled)
         else:
             source = self.spark.sql(s.sql)
             if len(source.columns) != len(columns):
@@ -655,13 +808,59 @@ class Engine:
                         out = out.withColumn("_share", share).join(before, "_share").withColumn(c.name, F.coalesce(F.col(c.name), number)).drop("_share", "_before")
         return written(out, "new")
 
+    def inline(self, t: Table, filled: list[str]) -> DataFrame:
+        """Many rows of literals as one table; expressions that are no literals keep a SELECT for each row."""
+        rows = ", ".join("(" + re.sub(r" AS (_pos|`(?:[^`]|``)+`)(?=, |$)", "", f[7:]) + ")" for f in filled)
+        try:
+            return self.spark.sql(f"SELECT * FROM VALUES {rows} AS v(_pos, {', '.join(map(name, t.names))})")
+        except AnalysisException:
+            return self.spark.sql(" UNION ALL ".join(filled))
+
     def do_insert(self, s: Record) -> DataFrame:
         if s.table.lower() in self.state.views:
             return self.instead(s)
         t = self.table(s.table)
         new = self.new_rows(t, s)
-        old = temporal.live(t.rows)
         keys = [[t.column(c).name for c in s.on]] if s.on else t.keys()
+        if s.conflict == "UPDATE" and (len(keys) > 1 or any(constraints.duplicates(new, key).take(1) for key in keys)):
+            return self.inserted_in_order(t, s, new, keys)
+        touched = self.insert(t, s, new, keys)
+        return self.returned(t, touched, s.returning)
+
+    def inserted_in_order(self, t: Table, s: Record, new: DataFrame, keys: list[list[str]]) -> DataFrame:
+        """New rows that meet each other's keys, or one row by several keys, one after the other.
+
+        Each round takes those before which no row left has any of their keys, or meets the same row of the table.
+        """
+        rounds = []
+        while new.take(1):
+            turn, t = new, self.table(s.table)
+            for key in keys:
+                turn = turn.join(self.one_of_each(new, key, first=True).select("_pos"), "_pos", "left_semi")
+            met = written(self.met(temporal.live(self.located(t)), turn, keys).select(ROW, "_pos"), "met")
+            later = met.join(met.groupBy(ROW).agg(F.min("_pos").alias("_first")), ROW).filter("_pos > _first").select("_pos")
+            turn = written(turn.join(later, "_pos", "left_anti"), "turn")
+            rounds.append(self.insert(t, s, turn, keys))
+            new = written(new.join(turn.select("_pos"), "_pos", "left_anti"), "new")
+        last = None
+        for touched in rounds:  # of a row that several rounds changed, what the last one made of it
+            last = touched if last is None else last.join(touched.select(ROW), ROW, "left_anti").unionByName(touched)
+        if last is None:
+            return self.returned(t, self.empty(t.columns), s.returning)
+        return self.returned(t, last, s.returning, sum(x.count() for x in rounds))
+
+    def met(self, old: DataFrame, new: DataFrame, keys: list[list[str]]) -> DataFrame:
+        """The old rows that have a key of a new one: (_row, _file, _pos)."""
+        out = None
+        for key in keys:
+            same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in key]
+            hit = new.alias("n").join(old.alias("o"), same).select(F.col(f"o.{ROW}").alias(ROW), F.col(f"o.{FILE}").alias(FILE), F.col("n._pos").alias("_pos"))
+            out = hit if out is None else out.unionAll(hit)
+        return out
+
+    def insert(self, t: Table, s: Record, new: DataFrame, keys: list[list[str]]) -> DataFrame:
+        """Insert new rows, of which no two have equal keys where conflicts update; the rows made or changed."""
+        old = temporal.live(self.located(t))
         gone = changed = None
         if s.conflict in ("IGNORE", "REPLACE", "UPDATE"):
             if s.conflict == "IGNORE":
@@ -669,16 +868,13 @@ class Engine:
                 new = new.filter(~constraints.nulls(new, needed))
             for key in keys:
                 new = self.one_of_each(new, key, first=s.conflict == "IGNORE")
-            for key in keys:
-                same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in key]
-                hit = new.alias("n").join(old.alias("o"), same).select(F.col(f"o.{ROW}").alias(ROW), F.col("n._pos").alias("_pos"))
-                gone = hit if gone is None else gone.unionAll(hit)
+            gone = self.met(old, new, keys) if keys else None
             if gone is not None:
                 gone = written(gone.dropDuplicates([ROW]), "hits")
         if s.conflict == "IGNORE" and gone is not None:
             new = new.join(gone.select("_pos").distinct(), "_pos", "left_anti")
         if s.conflict == "UPDATE" and gone is not None:
-            o, n = self.shown("_old", old.join(gone, ROW)), self.shown("_new", new)
+            o, n = self.shown("_old", old.join(gone.drop(FILE), ROW)), self.shown("_new", new)
             sets = ", ".join(f"({x}) AS {name('_set_' + t.column(c).name)}" for c, x in s.sets)
             # a name alone is the row that is there; excluded is the one that could not be inserted
             plain = self.spark.sql(f"SELECT * FROM {n} WHERE FALSE").columns
@@ -686,24 +882,29 @@ class Engine:
             sets = sets.replace("`excluded`.`", "`excluded`.`_x_")
             where = f" AND {s.where.replace('`excluded`.`', '`excluded`.`_x_')}" if s.where else ""
             me = name(s.alias or t.name)
-            changed = written(self.spark.sql(f"SELECT {me}.{ROW}, {sets} FROM {o} AS {me} JOIN {pairs} AS excluded ON {me}._pos = excluded._x__pos{where}"), "changed")
+            changed = written(self.spark.sql(f"SELECT {me}.{ROW}, {me}.{FILE}, {sets} FROM {o} AS {me} JOIN {pairs} AS excluded ON {me}._pos = excluded._x__pos{where}"), "changed")
             new = new.join(gone.select("_pos").distinct(), "_pos", "left_anti")
         fresh = self.stamped(new.drop("_pos").select(*[F.col(f"`{c}`") for c in t.names]))
         fresh = written(fresh, "fresh")
-        rows, touched = t.rows, fresh
-        if s.conflict == "REPLACE" and gone is not None:
-            rows = self.marked(rows, gone.select(ROW))
+        self.fire(t, "INSERT", None, fresh, before=True)
+        t, touched = self.table(t.name), fresh
         if changed is not None:
-            rows, updated = self.with_changes(t, rows, changed, [t.column(c).name for c, _ in s.sets])
+            columns = [t.column(c).name for c, _ in s.sets]
+            was = written(old.drop(FILE).join(changed.select(ROW), ROW, "left_semi"), "was")
+            updated = written(self.with_changes(t, was, changed, columns)[1], "updated")
+            self.fire(t, "UPDATE", was, updated, before=True)
+            self.rewrite(t, changed, lambda rows: self.with_changes(t, rows, changed, columns)[0], fresh)
             touched = fresh.unionByName(updated)
-        after = rows.unionByName(fresh)
-        self.store(t, after)
-        final = self.state.tables[t.name.lower()]
-        self.check(t, touched, temporal.live(final.rows))
+        elif s.conflict == "REPLACE" and gone is not None:
+            self.rewrite(t, gone, lambda rows: self.marked(rows, gone.select(ROW)), fresh)
+        else:
+            self.append(t, fresh)
+        self.past |= set(t.files or ())
+        self.check(t, touched, temporal.live(self.table(t.name).rows))
         self.fire(t, "INSERT", None, fresh)
         if changed is not None:
-            self.fire(t, "UPDATE", old.join(changed.select(ROW), ROW, "left_semi"), updated)
-        return self.returned(t, touched, s.returning)
+            self.fire(t, "UPDATE", was, updated)
+        return touched
 
     def one_of_each(self, rows: DataFrame, key: list[str], first: bool) -> DataFrame:
         """Of new rows with equal keys the first or the last one; keys with a NULL are never equal."""
@@ -719,7 +920,7 @@ class Engine:
 
     def with_changes(self, t: Table, rows: DataFrame, changed: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
         """rows with the values of changed(_row, _set_<column>), and the changed rows alone. Old values are not kept."""
-        marked = changed.withColumn("_hit", F.lit(True))
+        marked = changed.drop(FILE).withColumn("_hit", F.lit(True))
         joined = rows.join(marked, ROW, "left")
         hit = F.col("_hit").isNotNull()
         for c in columns:
@@ -731,13 +932,13 @@ class Engine:
 
     def hits(self, t: Table, s: Record, select: str, operation: str) -> DataFrame:
         """The rows that an UPDATE or DELETE means, each once."""
-        rows = temporal.live(t.rows)
+        rows = temporal.live(self.located(t))
         if t.secured and self.user is not None:
             rows = rows.filter(self.policy(t, operation))
         me = name(s.alias or t.name)
         view = self.shown(f"_target_{t.name.lower()}", rows)
         where = f" WHERE {s.where}" if s.where else ""
-        found = self.spark.sql(f"SELECT {me}.{ROW}{select} FROM {view} AS {me}{s.joins}{where}")
+        found = self.spark.sql(f"SELECT {me}.{ROW}, {me}.{FILE}{select} FROM {view} AS {me}{s.joins}{where}")
         return written(found.dropDuplicates([ROW]), "hits")
 
     def do_update(self, s: Record) -> DataFrame:
@@ -747,11 +948,12 @@ class Engine:
         columns = [t.column(c).name for c, _ in s.sets]
         select = "".join(f", ({x}) AS {name('_set_' + c)}" for c, (_, x) in zip(columns, s.sets))
         changed = self.hits(t, s, select, "UPDATE")
-        before = temporal.live(t.rows).join(changed.select(ROW), ROW, "left_semi")
-        rows, updated = self.with_changes(t, t.rows, changed, columns)
-        before = written(before, "before")
-        self.store(t, rows)
-        updated = written(updated, "updated")
+        before = written(temporal.live(t.rows).join(changed.select(ROW), ROW, "left_semi").select(*t.names, *HIDDEN), "before")
+        updated = written(self.with_changes(t, before, changed, columns)[1], "updated")
+        self.fire(t, "UPDATE", before, updated, before=True)
+        t = self.table(t.name)
+        self.rewrite(t, changed, lambda rows: self.with_changes(t, rows, changed, columns)[0])
+        self.past |= set(t.files or ())
         self.check(t, updated, temporal.live(self.state.tables[t.name.lower()].rows))
         self.cascade(t, before, updated)
         self.fire(t, "UPDATE", before, updated)
@@ -762,8 +964,11 @@ class Engine:
             return self.instead(s)
         t = self.table(s.table)
         found = self.hits(t, s, "", "DELETE")
-        gone = written(temporal.live(t.rows).join(found, ROW, "left_semi"), "gone")
-        self.store(t, self.marked(t.rows, found))
+        gone = written(temporal.live(t.rows).join(found, ROW, "left_semi").select(*t.names, *HIDDEN), "gone")
+        self.fire(t, "DELETE", gone, None, before=True)
+        t = self.table(t.name)
+        self.rewrite(t, found, lambda rows: self.marked(rows, found))
+        self.past |= set(t.files or ())
         self.cascade(t, gone, None)
         self.fire(t, "DELETE", gone, None)
         return self.returned(t, gone, s.returning)
@@ -788,7 +993,7 @@ class Engine:
                     old = old.join(new, ROW).filter(~same)
                 old = old.drop(ROW)
                 child = self.state.tables[child.name.lower()]
-                rows = temporal.live(child.rows)
+                rows = temporal.live(self.located(child))
                 hit = written(rows.join(old, [F.col(c) == F.col(f"_o{i}") for i, c in enumerate(k.columns)]), "children")
                 if not hit.take(1):
                     continue
@@ -797,19 +1002,36 @@ class Engine:
                     raise ConstraintError(f"FOREIGN KEY: {child.name} refers to {t.name}")
                 gone = hit.select(*[F.col(f"`{c}`") for c in child.names], *HIDDEN)
                 if action == "CASCADE" and after is None:
-                    self.store(child, self.marked(child.rows, hit.select(ROW)))
+                    self.rewrite(child, hit, lambda r, h=hit: self.marked(r, h.select(ROW).distinct()))
+                    self.past |= set(child.files or ())
                     self.cascade(child, gone, None, depth + 1)
                     continue
                 sets = []
                 for i, c in enumerate(k.columns):
                     new = F.col(f"_n{i}") if action == "CASCADE" else F.expr(child.column(c).default or "NULL") if action == "SET DEFAULT" else F.lit(None)
                     sets.append(new.alias(f"_set_{c}"))
-                changed_rows, updated = self.with_changes(child, child.rows, hit.select(ROW, *sets), list(k.columns))
-                updated = written(updated, "updated")
-                self.store(child, changed_rows)
+                moved = hit.select(ROW, *sets)
+                updated = written(self.with_changes(child, gone, moved, list(k.columns))[1], "updated")
+                self.rewrite(child, hit, lambda r, c=child, m=moved, k=k: self.with_changes(c, r, m, list(k.columns))[0])
+                self.past |= set(child.files or ())
                 self.cascade(child, gone, updated, depth + 1)
 
 
+def text_of(tokens: list) -> str:
+    """A statement's tokens as text again."""
+    quote = {"string": lambda x: "'" + x.replace("\\", "\\\\").replace("'", "''") + "'", "name": lambda x: f"`{x}`", "blob": lambda x: f"X'{x}'"}
+    out = ""
+    for t in tokens:
+        piece = quote[t.kind](t.text) if t.kind in quote else t.text
+        tight = not out or piece in (".", ",", ")", ";") or out[-1] in ".(" or (piece == "(" and out[-1:].isalnum() and t.kind == "op" and out.rsplit(" ", 1)[-1].isidentifier() and out.rsplit(" ", 1)[-1].upper() not in _OPENS)
+        out += piece if tight else f" {piece}"
+    return out
+
+
+#: Words behind which a parenthesis does not open a call.
+_OPENS = {"IN", "AS", "AND", "OR", "NOT", "FROM", "VALUES", "EXISTS", "WHERE", "ON", "OVER", "FILTER", "SELECT", "JOIN", "BY", "THEN", "ELSE", "WHEN", "UNION", "ALL", "EXCEPT", "INTERSECT"}
+
+
 def partition_of(t: Table) -> DataFrame:
     """The table's live rows with the partition that each belongs to."""
     p = t.partition

@@ -11,6 +11,7 @@ from tidegate.engine import Engine
 from tidegate.functions import call
 from tidegate.operators import joins, partitions, recursive, search, setops, sort, temporal, windows
 from tidegate.sources import parquet
+from tidegate.storage import new_path
 from tidegate.streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,9 +138,8 @@ def rollup_extension(spark, sf_dir):
 
 @_frame("SELECT n_regionkey, first(n_name ORDER BY n_nationkey) AS first_name, MAX(n_nationkey) AS top FROM nation GROUP BY n_regionkey")
 def ungrouped_column_first_row(spark, sf_dir):
-    """The dialect's value of an ungrouped column, with the order said."""
-    (nation,) = _t(spark, sf_dir, "nation")
-    return nation.groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("first_name"), F.max("n_nationkey").alias("top"))
+    """The dialect's value of an ungrouped column: that of the group's first row in the file."""
+    return Engine(spark, sf_dir).sql("SELECT n_regionkey, n_name AS first_name, MAX(n_nationkey) AS top FROM nation GROUP BY n_regionkey")
 
 
 # windows
@@ -371,6 +371,128 @@ def stream_tumbling(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+# statements whose effects are compared
+
+_N = "CREATE TABLE t (k INTEGER PRIMARY KEY, v TEXT)"
+_FILL = "INSERT INTO t SELECT n_nationkey, n_name FROM nation"
+_script("upsert_same_key", ["CREATE TABLE t (k INTEGER PRIMARY KEY, n INTEGER)", "INSERT INTO t VALUES (3, 100)", "INSERT INTO t SELECT s_nationkey, s_suppkey FROM supplier ON CONFLICT (k) DO UPDATE SET n = t.n + excluded.n", "SELECT k, n FROM t"],
+        "SELECT CAST(k AS BIGINT) AS k, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT s_nationkey AS k, s_suppkey AS n FROM supplier UNION ALL SELECT 3, 100) GROUP BY k")
+_script("duplicate_key_update", ["CREATE TABLE t (k INTEGER PRIMARY KEY, n INTEGER)", "INSERT INTO t VALUES (1, 1), (1, 2), (2, 5), (1, 10) ON DUPLICATE KEY UPDATE n = n * 2 + VALUES(n)", "SELECT k, n FROM t"],
+        "SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n FROM (VALUES (1, 18), (2, 5)) AS x(k, n)")
+_script("rename_keeps_foreign_keys", ["CREATE TABLE p (k INTEGER PRIMARY KEY)", "CREATE TABLE c (id INTEGER PRIMARY KEY, k INTEGER REFERENCES p(k) ON DELETE CASCADE)", "INSERT INTO p SELECT r_regionkey FROM region", "INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation",
+        "ALTER TABLE p RENAME TO q", "ALTER TABLE q RENAME COLUMN k TO rk", "DELETE FROM q WHERE rk >= 3", "SELECT id, k FROM c"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS k FROM nation WHERE n_regionkey < 3")
+_script("rename_column_keeps_check", ["CREATE TABLE t (k INTEGER PRIMARY KEY, n INTEGER CHECK (n >= 0))", "ALTER TABLE t RENAME COLUMN n TO m", "INSERT INTO t SELECT n_nationkey, n_regionkey FROM nation", "SELECT k, m FROM t"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS m FROM nation")
+_script("before_trigger", ["CREATE TABLE t (k INTEGER)", "CREATE TABLE log (at TEXT, n INTEGER)", "CREATE TRIGGER b BEFORE INSERT ON t FOR EACH ROW BEGIN INSERT INTO log SELECT 'before', COUNT(*) FROM t; END",
+        "CREATE TRIGGER a AFTER INSERT ON t FOR EACH ROW BEGIN INSERT INTO log SELECT 'after', COUNT(*) FROM t; END", "INSERT INTO t SELECT r_regionkey FROM region", "SELECT at, n, COUNT(*) AS c FROM log GROUP BY at, n"],
+        "SELECT x AS at, CAST(CASE x WHEN 'after' THEN COUNT(*) ELSE 0 END AS BIGINT) AS n, COUNT(*) AS c FROM region, (VALUES ('before'), ('after')) AS y(x) GROUP BY x")
+_script("after_trigger_row_values", ["CREATE TABLE t (k INTEGER PRIMARY KEY, n INTEGER)", "CREATE TABLE log (k INTEGER, d INTEGER)", "CREATE TRIGGER u AFTER UPDATE ON t WHEN (NEW.n > OLD.n) BEGIN INSERT INTO log VALUES (NEW.k, NEW.n - OLD.n); END", "INSERT INTO t SELECT n_nationkey, n_regionkey FROM nation",
+        "UPDATE t SET n = CASE WHEN k % 2 = 0 THEN n + k ELSE n - 1 END", "SELECT k, d FROM log"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS BIGINT) AS d FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey > 0")
+_script("instead_of_trigger", [_N, "CREATE VIEW low AS SELECT k, LOWER(v) AS name FROM t", "CREATE TRIGGER i INSTEAD OF INSERT ON low BEGIN INSERT INTO t VALUES (NEW.k, UPPER(NEW.name)); END", "INSERT INTO low SELECT r_regionkey, r_name FROM region", "SELECT k, v FROM t"],
+        "SELECT CAST(r_regionkey AS BIGINT) AS k, upper(r_name) AS v FROM region")
+_script("truncate_table", [_N, _FILL, "TRUNCATE TABLE t", "INSERT INTO t VALUES (1, 'one')", "SELECT k, v FROM t"], "SELECT CAST(1 AS BIGINT) AS k, 'one' AS v")
+_script("drop_and_create_again", [_N, _FILL, "DROP TABLE t", "DROP TABLE IF EXISTS t", "CREATE TABLE IF NOT EXISTS t (k INTEGER)", "INSERT INTO t SELECT r_regionkey FROM region", "SELECT k FROM t"], "SELECT CAST(r_regionkey AS BIGINT) AS k FROM region")
+_script("foreign_key_set_null", ["CREATE TABLE p (k INTEGER PRIMARY KEY)", "CREATE TABLE c (id INTEGER PRIMARY KEY, k INTEGER REFERENCES p(k) ON DELETE SET NULL)", "INSERT INTO p SELECT r_regionkey FROM region", "INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation", "DELETE FROM p WHERE k = 2", "SELECT id, k FROM c"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(NULLIF(n_regionkey, 2) AS BIGINT) AS k FROM nation")
+_script("foreign_key_set_default", ["CREATE TABLE p (k INTEGER PRIMARY KEY)", "CREATE TABLE c (id INTEGER PRIMARY KEY, k INTEGER DEFAULT 0 REFERENCES p(k) ON DELETE SET DEFAULT)", "INSERT INTO p SELECT r_regionkey FROM region", "INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation", "DELETE FROM p WHERE k = 2", "SELECT id, k FROM c"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(CASE n_regionkey WHEN 2 THEN 0 ELSE n_regionkey END AS BIGINT) AS k FROM nation")
+_script("foreign_key_update_cascade", ["CREATE TABLE p (k INTEGER PRIMARY KEY)", "CREATE TABLE c (id INTEGER PRIMARY KEY, k INTEGER REFERENCES p(k) ON UPDATE CASCADE)", "INSERT INTO p SELECT r_regionkey FROM region", "INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation", "UPDATE p SET k = k + 100 WHERE k > 2", "SELECT id, k FROM c"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(CASE WHEN n_regionkey > 2 THEN n_regionkey + 100 ELSE n_regionkey END AS BIGINT) AS k FROM nation")
+_script("add_and_drop_constraint", [_N, "ALTER TABLE t ADD CONSTRAINT short CHECK (LENGTH(v) < 3)", "ALTER TABLE t DROP CONSTRAINT short", "ALTER TABLE t ADD CONSTRAINT u UNIQUE (v)", _FILL, "INSERT OR IGNORE INTO t SELECT n_nationkey + 100, n_name FROM nation", "SELECT k, v FROM t"],
+        "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation")
+_script("unique_index_conflict", ["CREATE TABLE t (k INTEGER, v TEXT)", "CREATE UNIQUE INDEX u ON t (v)", _FILL, "INSERT OR REPLACE INTO t SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 0", "DROP INDEX u", "SELECT k, v FROM t"],
+        "SELECT CAST(CASE n_regionkey WHEN 0 THEN n_nationkey + 100 ELSE n_nationkey END AS BIGINT) AS k, n_name AS v FROM nation")
+_script("partitioned_table", ["CREATE TABLE t (k INTEGER, size INTEGER) PARTITION BY RANGE(size) (PARTITION small VALUES LESS THAN (10), PARTITION middle VALUES LESS THAN (30), PARTITION big VALUES LESS THAN MAXVALUE)", "INSERT INTO t SELECT p_partkey, p_size FROM part",
+        "UPDATE t SET size = 40 WHERE size = 7", "DELETE FROM t WHERE size = 12", "SELECT k, size FROM t WHERE size = 40 OR size < 15"],
+        "SELECT CAST(p_partkey AS BIGINT) AS k, CAST(s AS BIGINT) AS size FROM (SELECT p_partkey, CASE p_size WHEN 7 THEN 40 ELSE p_size END AS s FROM part WHERE p_size <> 12) WHERE s = 40 OR s < 15")
+_script("hash_partitioned_lookup", ["CREATE TABLE t (k INTEGER, v TEXT) PARTITION BY HASH(k) PARTITIONS 4", "INSERT INTO t SELECT c_custkey, c_name FROM customer", "SELECT k, v FROM t WHERE k = 7"], "SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey = 7")
+_script("vacuum_keeps_rows", [_N, _FILL, "DELETE FROM t WHERE k < 10", "UPDATE t SET v = LOWER(v) WHERE k > 20", "VACUUM t", "SELECT k, v FROM t"], "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey > 20 THEN lower(n_name) ELSE n_name END AS v FROM nation WHERE n_nationkey >= 10")
+_script("time_travel_before_delete", ["CREATE TABLE t AS SELECT n_nationkey AS k FROM nation", "DELETE FROM t WHERE k < 10", "SELECT (SELECT COUNT(*) FROM t) AS now_rows, COUNT(*) AS all_rows FROM t AS OF 'now'"],
+        "SELECT COUNT(*) FILTER (WHERE n_nationkey >= 10) AS now_rows, COUNT(*) FILTER (WHERE n_nationkey >= 10) AS all_rows FROM nation")
+_script("collection_documents", ["CREATE COLLECTION c", "INSERT INTO c (data) SELECT JSON_OBJECT('name', n_name, 'region', n_regionkey) FROM nation", "SELECT JSON_EXTRACT(data, '$.name') AS name, CAST(JSON_EXTRACT(data, '$.region') AS INTEGER) AS region FROM c WHERE JSON_EXTRACT(data, '$.region') = '1'"],
+        "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_regionkey = 1")
+_script("procedure_out", ["CREATE PROCEDURE p (IN least INTEGER, OUT n INTEGER) BEGIN SET n = (SELECT COUNT(*) FROM nation WHERE n_nationkey >= least); END", "CALL p(10)"], "SELECT CAST(COUNT(*) AS INTEGER) AS n FROM nation WHERE n_nationkey >= 10")
+_script("policy_on_update", ["CREATE TABLE t AS SELECT c_custkey AS k, c_nationkey AS n FROM customer", "CREATE POLICY a ON t FOR ALL USING (n = 3)", "ALTER TABLE t ENABLE ROW LEVEL SECURITY", "UPDATE t SET k = k + 1000000", "ALTER TABLE t DISABLE ROW LEVEL SECURITY", "SELECT k FROM t"],
+        "SELECT CASE c_nationkey WHEN 3 THEN c_custkey + 1000000 ELSE c_custkey END AS k FROM customer", user="ann")
+_script("savepoint_release", [_N, "BEGIN", _FILL, "SAVEPOINT a", "DELETE FROM t WHERE k < 5", "RELEASE SAVEPOINT a", "COMMIT", "SELECT k FROM t"], "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey >= 5")
+
+
+def _refused(spark: SparkSession, sf_dir: str, statements: list[str], tried: list[str]) -> DataFrame:
+    """Of the statements tried which ones the engine refuses."""
+    engine = Engine(spark, sf_dir)
+    for s in statements:
+        engine.sql(s)
+    rows = []
+    for i, s in enumerate(tried):
+        try:
+            engine.sql(s)
+            rows.append((i, False))
+        except ValueError:
+            rows.append((i, True))
+    return spark.createDataFrame(rows, "place long, refused boolean")
+
+
+@_frame("SELECT * FROM (VALUES (0::BIGINT, true), (1::BIGINT, true), (2::BIGINT, true), (3::BIGINT, true), (4::BIGINT, true), (5::BIGINT, false), (6::BIGINT, true), (7::BIGINT, true), (8::BIGINT, true)) AS x(place, refused)")
+def refused_statements(spark, sf_dir):
+    """NOT NULL, UNIQUE, CHECK, PRIMARY KEY, FOREIGN KEY, RESTRICT, a second BEGIN, MERGE."""
+    made = ["CREATE TABLE p (k INTEGER PRIMARY KEY)", "CREATE TABLE c (k INTEGER REFERENCES p(k) ON DELETE RESTRICT, v TEXT NOT NULL UNIQUE, n INTEGER CHECK (n > 0))", "INSERT INTO p SELECT r_regionkey FROM region", "INSERT INTO c SELECT n_regionkey, n_name, n_nationkey + 1 FROM nation"]
+    tried = ["INSERT INTO c VALUES (1, NULL, 1)", "INSERT INTO c SELECT 1, n_name, 1 FROM nation", "UPDATE c SET n = 0", "INSERT INTO p VALUES (1)", "INSERT INTO c VALUES (77, 'new', 1)", "BEGIN", "BEGIN", "DELETE FROM p WHERE k = 1", "MERGE INTO c USING p ON c.k = p.k WHEN MATCHED THEN DELETE"]
+    return _refused(spark, sf_dir, made, tried)
+
+
+@_frame("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation WHERE n_nationkey > 20")
+def foreign_csv(spark, sf_dir):
+    """A foreign table over CSV files with a header; the filter is pushed to the reader."""
+    path = new_path(spark, "csv")
+    parquet.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")).write.option("header", "true").csv(path)
+    engine = Engine(spark, sf_dir)
+    engine.sql(f"CREATE FOREIGN TABLE f (k INTEGER, v TEXT) WRAPPER 'csv' OPTIONS (file '{path}')")
+    return engine.sql("SELECT k, v FROM f WHERE k > 20")
+
+
+@_frame("SELECT doc_id FROM documents WHERE contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' license ')")
+def fulltext_index(spark, sf_dir):
+    """CREATE FULLTEXT INDEX writes postings, which a search reads."""
+    engine = Engine(spark, sf_dir)
+    engine.sql("CREATE FULLTEXT INDEX f ON documents (text)")
+    return engine.search_text("f", "License").select("doc_id").distinct()
+
+
+@_frame("""SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 6 HOUR AS session_end, COUNT(*) AS n FROM (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s
+  FROM (SELECT user_id, ts, CASE WHEN ts >= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s""")
+def stream_sessions(spark, sf_dir):
+    """Beyond the dialect: runs of a user's events without a pause of six hours."""
+    (events,) = _t(spark, sf_dir, "events")
+    out = streams.sessions(events.withColumn("ts", F.col("ts").cast("string")), "ts", "6 hours", "user_id")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@_frame("SELECT column_name, n FROM (VALUES ('n_nationkey', 25::BIGINT), ('n_name', 25::BIGINT), ('n_regionkey', 25::BIGINT)) AS x(column_name, n)")
+def analyze_columns(spark, sf_dir):
+    found = Engine(spark, sf_dir)
+    found.sql("SELECT * FROM nation")
+    return found.sql("ANALYZE TABLE nation").select("column_name", F.col("row_count").cast("long").alias("n"))
+
+
+_dialect("functions_text_more", "SELECT n_nationkey, UNICODE(n_name) AS u, LENGTH(LPAD(n_name, 15, 'é')) AS pl, PRINTF('%d of %s: %f', n_nationkey + 0.7, n_name, n_regionkey) AS p, n_name REGEXP '[[:digit:]]{2}$' AS d, REGEXP_REPLACE(n_name, '(?P<a>[0-9])', '<$1>') AS r FROM nation",
+         "SELECT n_nationkey, CAST(unicode(n_name) AS BIGINT) AS u, CAST(15 AS BIGINT) AS pl, printf('%d of %s: %f', n_nationkey, n_name, CAST(n_regionkey AS DOUBLE)) AS p, regexp_matches(n_name, '[0-9]{2}$') AS d, regexp_replace(n_name, '([0-9])', '<\\1>', 'g') AS r FROM nation")
+_dialect("functions_math_more", "SELECT c_custkey, SQUARE(c_nationkey) AS s, CUBE(c_nationkey) AS c, ABS_VAL(c_acctbal) AS a, POWER_INT(2, c_nationkey) AS p, FLOOR(c_acctbal * 1e300) AS f, TRUNCATE(c_acctbal, 1) AS t, ROUND(TAN(c_nationkey), 9) AS tn, ROUND(ATAN(c_acctbal), 9) AS at, ROUND(ASIN(c_nationkey / 30), 9) AS si, MAX(c_nationkey, 7) AS mx, (c_nationkey > 5) + 1 AS tr, 1 < c_nationkey < 2 AS ch, c_nationkey << -1 AS sh FROM customer",
+         "SELECT c_custkey, CAST(c_nationkey * c_nationkey AS INTEGER) AS s, CAST(c_nationkey * c_nationkey * c_nationkey AS INTEGER) AS c, abs(c_acctbal) AS a, CAST(2 ** c_nationkey AS BIGINT) AS p, floor(c_acctbal * 1e300) AS f, sign(c_acctbal) * floor(abs(c_acctbal) * 10) / 10 AS t, round(tan(c_nationkey), 9) AS tn, round(atan(c_acctbal), 9) AS at, round(asin(c_nationkey / 30), 9) AS si, greatest(c_nationkey, 7) AS mx, CAST(c_nationkey > 5 AS INTEGER) + 1 AS tr, CAST(c_nationkey > 1 AS INTEGER) < 2 AS ch, CAST(NULL AS BIGINT) AS sh FROM customer")
+_dialect("functions_json_more", "SELECT event_id, '' || JSON_KEYS(props) AS k, JSON_OBJECT(event_type, value, 'user', user_id) ->> '$.user' AS u, JSON_SET(props, '$.t', event_type) ->> '$.t' AS t, JSON_VALID(JSON_PRETTY(props)) AS v, JSON_MINIFY(JSON_PRETTY(props)) = JSON_MINIFY(props) AS m FROM events",
+         "SELECT event_id, '[k]' AS k, CAST(user_id AS VARCHAR) AS u, event_type AS t, true AS v, true AS m FROM events")
+_dialect("functions_datetime_more", "SELECT o_orderkey, DATE(REPLACE(DATE(o_orderdate), '-', '/')) AS d, HOUR('10:20:30') AS h, MINUTE('10:20') AS m, YEAR('2024-05') AS y, STRFTIME('%Y-%j', o_orderdate) AS f FROM orders",
+         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(10 AS BIGINT) AS h, CAST(20 AS BIGINT) AS m, CAST(2024 AS BIGINT) AS y, strftime(o_orderdate, '%Y-%j') AS f FROM orders")
+_dialect("functions_session", "SELECT n_nationkey, VERSION() AS v, @@autocommit AS a, DATABASE() AS d, ZEROBLOB(0) AS z, IS_TRUE(n_regionkey) AS t, IS_FALSE(n_regionkey) AS f, IS_UNKNOWN(NULLIF(n_regionkey, 1)) AS u FROM nation",
+         "SELECT n_nationkey, '8.0.0' AS v, 1 AS a, 'main' AS d, '' AS z, n_regionkey <> 0 AS t, n_regionkey = 0 AS f, n_regionkey = 1 AS u FROM nation")
+_dialect("recursive_union_two_bases", "WITH RECURSIVE r(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 3 UNION SELECT n_nationkey FROM nation WHERE n_nationkey = 4 UNION SELECT (r.k * 2) % 25 FROM r) SELECT k FROM r",
+         "WITH RECURSIVE r(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey IN (3, 4) UNION SELECT (r.k * 2) % 25 FROM r) SELECT k FROM r")
+_dialect("set_operations_in_cte", "WITH u AS (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) SELECT k, COUNT(*) AS n FROM u GROUP BY k",
+         "SELECT k, LEAST(a, b) AS n FROM (SELECT c_nationkey AS k, COUNT(*) AS a FROM customer GROUP BY 1) JOIN (SELECT s_nationkey AS k, COUNT(*) AS b FROM supplier GROUP BY 1) USING (k)")
+_dialect("table_hints_and_locks", "SELECT n_nationkey FROM nation USE INDEX (a, b) WHERE n_regionkey = 2 FOR UPDATE", "SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["flagship_revenue_by_nation"](spark, sf_dir)
 
