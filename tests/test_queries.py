@@ -67,6 +67,37 @@ def test_knn_join_answers_every_query(spark):
     assert {tuple(r) for r in queries.queries()["vector_knn_join"](spark, SF).collect()} == want and len(want) == 75
 
 
+def test_vector_index_recall(spark):
+    """Each id divisible by 20 asks for its ten nearest: by few lists at least nine tenths of them, exactly all of them."""
+    from tidegate.operators import vector_index
+
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = {r["vec_id"]: r["embedding"] for r in df.collect()}
+    index = vector_index.build(df, "embedding")
+    assert index.rows.count() == len(rows) and index.probes < len(index.centroids)
+    found = total = 0
+    for n, q in enumerate(sorted(v for v in rows if v % 20 == 0)):
+        want = [v for _, v in sorted((math.dist(rows[q], x), v) for v, x in rows.items())[:10]]
+        near = {r["vec_id"] for r in vector_index.nearest(index, rows[q], 10, tie="vec_id", exact=False).collect()}
+        found, total = found + len(near & set(want)), total + 10
+        if n % 8 == 0:
+            assert [r["vec_id"] for r in vector_index.nearest(index, rows[q], 10, tie="vec_id").collect()] == want
+    assert found >= 0.9 * total
+
+
+def test_vector_index_of_odd_rows(spark):
+    """Nulls, other dimensions, ties, an empty table, more asked for than there is."""
+    from tidegate.operators import vector_index
+
+    rows = [(1, [0.0, 1.0]), (2, None), (3, [1.0]), (4, [0.0, 1.0]), (5, [None, 1.0]), (6, []), (7, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = vector_index.build(df, "v")
+    assert index.rows.count() == 7
+    assert [r["id"] for r in vector_index.nearest(index, [0.0, 0.0], 3, tie="id").collect()] == [1, 4, 7]
+    assert vector_index.nearest(index, [0.0, 0.0], 7).count() == 7 and vector_index.nearest(index, [0.0], 1).first()["id"] == 3
+    assert vector_index.nearest(vector_index.build(df.limit(0), "v"), [0.0, 0.0], 3).collect() == []
+
+
 def test_reachability_over_all_orders(spark):
     """Customers reached through any consecutive orders, by a search in Python."""
     customer = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}

@@ -25,7 +25,7 @@ from tidegate.dialect.lexer import DialectError
 from tidegate.dialect.statements import StatementReader
 from tidegate.dialect.translate import Scope, Sql, Translator, name, value
 from tidegate.functions import json
-from tidegate.operators import constraints, partitions, recursive, search, security, temporal
+from tidegate.operators import constraints, partitions, recursive, search, security, temporal, vector_index
 from tidegate.operators.constraints import ConstraintError
 from tidegate.operators.temporal import CREATED, DELETED
 from tidegate.plans import explain, statistics
@@ -478,16 +478,28 @@ class Engine:
         s.key, s.postings = key, written(search.postings(rows, key, s.columns), "postings")
         return self.affected()
 
-    do_create_vector = do_create_index
+    def do_create_vector(self, s: Record) -> DataFrame:
+        """Every row of the table as it now is goes to a list of vectors near each other."""
+        self.do_create_index(s)
+        self.resolve(s.table)
+        s.of = self.state.tables[s.table.lower()].rows
+        s.vectors = vector_index.build(self.spark.sql(f"SELECT * FROM {self.resolve(s.table)}"), s.columns[0])
+        return self.affected()
 
     def search_text(self, index: str, words: str) -> DataFrame:
         """Keys of the rows that hold all words, as of the index's creation."""
         i = self.state.indexes[index.lower()]
         return search.search(i.postings, i.key, words)
 
-    def search_vector(self, index: str, q: list[float], k: int | None = None, radius: float | None = None) -> DataFrame:
-        """The k nearest rows, or those within a radius, by exact L2 distance."""
+    def search_vector(self, index: str, q: list[float], k: int | None = None, radius: float | None = None, exact: bool = True) -> DataFrame:
+        """The k nearest rows, or those within a radius, by L2 distance; not exact: those of the lists nearest to q.
+
+        An index is as old as its creation: once the table has changed, or where a policy hides rows, all rows are searched.
+        """
         i = self.state.indexes[index.lower()]
+        t = self.state.tables.get(i.table.lower())
+        if k is not None and t is not None and t.rows is i.of and not (t.secured and self.user is not None):
+            return vector_index.nearest(i.vectors, q, k, exact=exact)
         rows = self.spark.sql(f"SELECT * FROM {self.resolve(i.table)}")
         return search.knn(rows, i.columns[0], q, k) if k is not None else search.within(rows, i.columns[0], q, radius or 0.0)
 

@@ -267,6 +267,14 @@ def vector_knn(spark, sf_dir):
     return search.knn(e, "embedding", q, 10, tie="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@_frame(f"SELECT vec_id, round(list_distance({_V}, {_QS}::DOUBLE[]), 6) AS distance FROM embeddings ORDER BY list_distance({_V}, {_QS}::DOUBLE[]), vec_id LIMIT 10")
+def vector_index_knn(spark, sf_dir):
+    """The same by an index: every list that can hold one of the nearest."""
+    engine = Engine(spark, sf_dir)
+    engine.sql("CREATE VECTOR INDEX v ON embeddings (embedding)")
+    return engine.search_vector("v", [float(f"{x:.1f}") for x in _Q], k=10).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @_frame(f"SELECT vec_id FROM embeddings WHERE list_distance({_V}, {_QS}::DOUBLE[]) <= 8.9")
 def vector_range(spark, sf_dir):
     (e,) = _t(spark, sf_dir, "embeddings")
