@@ -498,6 +498,10 @@ _dialect("recursive_union_two_bases", "WITH RECURSIVE r(k) AS (SELECT n_nationke
          "WITH RECURSIVE r(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey IN (3, 4) UNION SELECT (r.k * 2) % 25 FROM r) SELECT k FROM r")
 _dialect("set_operations_in_cte", "WITH u AS (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) SELECT k, COUNT(*) AS n FROM u GROUP BY k",
          "SELECT k, LEAST(a, b) AS n FROM (SELECT c_nationkey AS k, COUNT(*) AS a FROM customer GROUP BY 1) JOIN (SELECT s_nationkey AS k, COUNT(*) AS b FROM supplier GROUP BY 1) USING (k)")
+_dialect("order_by_window", "SELECT n_name, n_regionkey AS r FROM nation ORDER BY ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC), r LIMIT 12",
+         "SELECT n_name, r FROM (SELECT n_name, n_regionkey AS r, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) AS o FROM nation) ORDER BY o, r LIMIT 12")
+_dialect("order_by_subquery", "SELECT c_custkey FROM customer ORDER BY (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey) DESC, c_custkey LIMIT 15",
+         "SELECT c_custkey FROM customer JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey ORDER BY n DESC, c_custkey LIMIT 15")
 _dialect("table_hints_and_locks", "SELECT n_nationkey FROM nation USE INDEX (a, b) WHERE n_regionkey = 2 FOR UPDATE", "SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
 
 
