@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,24 +33,51 @@ def within(df: DataFrame, column: str, q: list[float], radius: float) -> DataFra
 
 
 def knn_join(queries: DataFrame, df: DataFrame, key: str, query_column: str, tie: str, column: str, k: int, block: int = 256) -> DataFrame:
-    """For each query row its k nearest rows of df: (key, tie, distance, rank). Queries are a stated set, in blocks.
+    """For each query row its k nearest rows of df by L2 distance: (key, tie, distance, rank). Queries are a stated set, in blocks.
 
-    Each block of queries is broadcast to a scan of df; ranks are limited within each task before rows are shuffled.
+    Each block of queries is broadcast to a scan of df, in which every task keeps its k nearest rows of each query only.
+    Rows and queries without a vector are near nothing; vectors of different dimensions are infinitely far apart. key and
+    tie are whole numbers; of equal distances the least tie comes first.
     """
     spark, out, part = df.sparkSession, None, []
-    schema = f"{key} long, _q array<double>"
-
-    def nearest(part: list) -> DataFrame:
-        few = F.broadcast(spark.createDataFrame(part, schema))
-        return df.select(tie, F.col(column).alias("_v")).crossJoin(few).select(key, tie, F.expr(vector.l2_distance("_v", "_q")).alias("distance"))
-
-    for r in queries.select(key, F.col(query_column).cast("array<double>")).toLocalIterator():
+    narrow = df.select(F.col(tie).cast("long").alias("_t"), F.col(column).cast("array<double>").alias("_v")).filter("_v IS NOT NULL AND NOT exists(_v, x -> x IS NULL)")
+
+    def nearest(part: list[tuple[int, list[float]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = [(q, np.array(v, float)) for q, v in shared.value]
+            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in asked]
+            for batch in batches:
+                ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+                sizes = np.diff(vectors.offsets.to_numpy())
+                flat = vectors.values.to_numpy(zero_copy_only=False)[vectors.offsets[0].as_py() : vectors.offsets[-1].as_py()]
+                starts = np.cumsum(sizes) - sizes
+                by_size = {n: flat[(starts[sizes == n][:, None] + np.arange(n)).ravel()].reshape(-1, n) for n in {len(v) for _, v in asked} & set(sizes.tolist())}
+                for i, (_, v) in enumerate(asked):
+                    away = np.full(len(ids), np.inf)
+                    if len(v) in by_size:
+                        away[sizes == len(v)] = np.sqrt(((by_size[len(v)] - v) ** 2).sum(1))
+                    if len(best[i][0]) == k:  # few rows of a batch come into question
+                        some = away <= best[i][0][-1]
+                        away, mine = away[some], ids[some]
+                    else:
+                        mine = ids
+                    away, mine = np.concatenate([best[i][0], away]), np.concatenate([best[i][1], mine])
+                    first = np.lexsort((mine, away))[:k]
+                    best[i] = away[first], mine[first]
+            for (q, _), (away, mine) in zip(asked, best):
+                yield pa.record_batch([pa.array(np.full(len(mine), q, np.int64)), pa.array(mine), pa.array(away)], [key, tie, "distance"])
+
+        return narrow.mapInArrow(search, f"`{key}` long, `{tie}` long, distance double")
+
+    for r in queries.filter(F.col(query_column).isNotNull()).select(key, F.col(query_column).cast("array<double>")).toLocalIterator():
         part.append((r[0], r[1]))
         if len(part) == block:
             out, part = nearest(part) if out is None else out.unionAll(nearest(part)), []
     if part or out is None:
         out = nearest(part) if out is None else out.unionAll(nearest(part))
-    w = Window.partitionBy(key).orderBy("distance", tie)  # Spark limits a rank's groups before the shuffle too
+    w = Window.partitionBy(key).orderBy("distance", tie)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
