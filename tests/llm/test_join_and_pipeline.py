@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import SF, TEXTS
-from tests.llm.test_scans import UPPER, WORD, brute_distance
+from tests.llm.test_scans import UPPER, WORD, brute_distance, loose_distances
 from tests.llm.test_tokens import check_packing
 from tidegate.llm import _common as C
 from tidegate.llm import decontaminate, jaccard_join, langid, queries, secret_scan
@@ -187,15 +188,19 @@ def test_stages(spark, table):
 
 
 def brute_near(item, text):
-    """Whether some part of text is within the budget; pieces of it that share no word are not tried."""
+    """Whether some run of whole words is within the budget, by dynamic programming over the whole text."""
     if f" {item} " in f" {text} ":
         return True
     k = int(len(item) * decontaminate.ERROR_RATE)
     grams = {item[i : i + 3] for i in range(len(item) - 2)}
-    for at in range(0, len(text), len(item)):
-        part = text[at : at + 2 * len(item) + 2 * k]
-        if len(grams & {part[i : i + 3] for i in range(len(part) - 2)}) >= len(grams) - 3 * k and brute_distance(item, part) <= k:
+    if not k or len(grams & {text[i : i + 3] for i in range(len(text) - 2)}) < len(grams) - 3 * k:
+        return False
+    tried = set()
+    for end in np.flatnonzero(loose_distances(item, text) <= k).tolist():
+        a, b = text.rfind(" ", 0, max(0, end - len(item) - k)) + 1, text.find(" ", end + k)
+        if (a, b) not in tried and brute_distance(item, text[a : b if b >= 0 else len(text)]) <= k:
             return True
+        tried.add((a, b))
     return False
 
 

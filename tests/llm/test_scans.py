@@ -262,6 +262,16 @@ def brute_distance(item, text):
     return brute_nearest(item, text)[0]
 
 
+def loose_distances(item, text):
+    """For each place of the text the edits between the item and the nearest part that ends there, wherever it begins."""
+    codes, place = np.array([ord(c) for c in text], np.int64), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, x in enumerate(item, 1):
+        new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (codes != ord(x))]))
+        row = np.minimum.accumulate(new - place) + place
+    return row
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab ", min_size=1, max_size=12).map(decontaminate.normalize).filter(bool), st.text("ab c", max_size=30).map(decontaminate.normalize), st.integers(0, 6))
 def test_nearest(text_of_item, text, budget):
