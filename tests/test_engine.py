@@ -70,6 +70,50 @@ def test_upsert_in_order(rows):
     assert rows("SELECT a, b, n FROM t ORDER BY a") == [(1, "x", 124), (5, None, 7), (6, None, 1)]
 
 
+def test_upsert_of_a_hot_key(rows, engine, monkeypatch):
+    """Many rows of one key are folded in order in one change of the table, in several shares where they are too large for one."""
+    from tidegate import engine as module
+
+    monkeypatch.setattr(engine, "inserted_in_order", None)
+    rows("CREATE TABLE t (k INTEGER PRIMARY KEY, n INTEGER, s TEXT DEFAULT 'it''s `n`', z INTEGER)")
+    rows("INSERT INTO t (k, n, z) VALUES (1, 5, 0), (9, 9, 9)")
+    source = [(i % 3, i) for i in range(1, 400)]
+    state = {1: [5, "it's `n`", 0], 9: [9, "it's `n`", 9]}
+    affected = 0
+    for k, i in source * 2:
+        if k not in state:
+            state[k], hit = [i, "it's `n`", i], True
+        else:
+            old, hit = list(state[k]), i % 5 != 2
+            if hit:
+                state[k] = [(old[0] * 3 + i) % 1009, "n" + str(old[0]), old[2]]
+        affected += hit
+    values = ", ".join(f"({k}, {i}, {i})" for k, i in source)
+    statement = f"INSERT INTO t AS me (k, n, z) VALUES {values} ON CONFLICT (k) DO UPDATE SET n = (me.n * 3 + excluded.n) % 1009, s = 'n' || n WHERE excluded.z % 5 <> 2"
+    done = rows(statement)
+    monkeypatch.setattr(module, "FOLD_LEAST", 3000)
+    monkeypatch.setattr(module, "FOLD_BYTES", 9000)
+    assert done[0][0] + rows(statement)[0][0] == affected
+    assert rows("SELECT k, n, s, z FROM t ORDER BY k") == [(k, *state[k]) for k in sorted(state)]
+
+
+def test_upsert_checks_every_step(rows):
+    """A value that only stands until a later row of the statement breaks a constraint all the same."""
+    rows("CREATE TABLE t (k INTEGER PRIMARY KEY, n INTEGER NOT NULL CHECK (n < 10))")
+    rows("INSERT INTO t VALUES (1, 1)")
+    for values in ("(1, 20), (1, 5)", "(2, 20), (2, 5)", "(1, NULL), (1, 5)"):
+        with pytest.raises(ConstraintError):
+            rows(f"INSERT INTO t VALUES {values} ON CONFLICT (k) DO UPDATE SET n = excluded.n")
+    assert rows("INSERT INTO t VALUES (1, 4), (2, 3), (1, 2), (2, 9) ON CONFLICT (k) DO UPDATE SET n = excluded.n RETURNING k, n") in ([(1, 2), (2, 9)], [(2, 9), (1, 2)])
+    # an expression that an array cannot evaluate, and triggers, go row by row
+    assert rows("INSERT INTO t VALUES (1, 4), (1, 2) ON CONFLICT (k) DO UPDATE SET n = (SELECT MAX(t.n) FROM t) - excluded.n") == [(2,)]
+    assert rows("SELECT n FROM t ORDER BY k") == [(7,), (9,)]
+    rows("CREATE TABLE log (a INTEGER, b INTEGER)")
+    rows("CREATE TRIGGER u AFTER UPDATE ON t BEGIN INSERT INTO log VALUES (OLD.n, NEW.n); END")
+    rows("INSERT INTO t VALUES (1, 4), (1, 2) ON CONFLICT (k) DO UPDATE SET n = excluded.n")
+    assert rows("SELECT a, b FROM log ORDER BY a DESC") == [(7, 4), (4, 2)]
+
+
 def test_changes_write_only_the_files_they_touch(engine, rows):
     rows("CREATE TABLE t (k INTEGER PRIMARY KEY, v INTEGER)")
     for k in range(4):

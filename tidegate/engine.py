@@ -37,6 +37,8 @@ ROW, FILE, PART = "_row", "_file", "_partition"
 HIDDEN = [ROW, CREATED, DELETED]
 #: Triggers run row by row on the driver: rows of one statement, and triggers fired by triggers, at most.
 MOST_TRIGGER_ROWS, MOST_TRIGGER_DEPTH = 1000, 16
+#: An upsert's rows of one key are folded in shares of so many bytes at least, and of all keys with more of so many together.
+FOLD_LEAST, FOLD_BYTES = 2 << 20, 128 << 20
 
 
 @dataclass(frozen=True)
@@ -835,10 +837,89 @@ class Engine:
         new = self.new_rows(t, s)
         keys = [[t.column(c).name for c in s.on]] if s.on else t.keys()
         if s.conflict == "UPDATE" and (len(keys) > 1 or any(constraints.duplicates(new, key).take(1) for key in keys)):
-            return self.inserted_in_order(t, s, new, keys)
+            folded = self.folded(t, s, new, keys[0]) if len(keys) == 1 else None
+            if folded is None:
+                return self.inserted_in_order(t, s, new, keys)
+            old, fresh, changed, n = folded
+            return self.returned(t, self.put(t, s, old, fresh, changed), s.returning, n)
         touched = self.insert(t, s, new, keys)
         return self.returned(t, touched, s.returning)
 
+    def folded(self, t: Table, s: Record, new: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+        """New rows that meet each other's key, one after the other, in one pass over each key's rows and one change of the table.
+
+        The rows of the table that they meet, the rows to insert, the values to change, and how many rows were inserted
+        or changed, each time counted. None where what lies between counts (triggers, or values that other rows are
+        compared with) or an expression cannot be evaluated within an array.
+        """
+        sets = {t.column(c).name: x for c, x in s.sets}
+        fixed = {c.lower() for c in key} | {c.lower() for k in t.constraints if k.kind in ("primary", "unique", "foreign") for c in k.columns}
+        fixed |= {t.partition.column.lower()} if t.partition else set()
+        if len(sets) < len(s.sets) or fixed & {c.lower() for c in sets} or t.secured and self.user is not None:
+            return None
+        if any(g.table.lower() == t.name.lower() and g.event in ("INSERT", "UPDATE") for g in self.state.triggers.values()):
+            return None
+        here = {(s.alias or t.name).lower(): "`_old`.`row`", "excluded": "`_add`", "": "`_old`.`row`"}
+
+        def of(sql: str) -> str:
+            """An expression on the row that is there and on excluded as one on the fold's."""
+            return re.sub(r"'(?:[^'\\]|\\.)*'|(?:`((?:[^`]|``)+)`\.)?(`(?:[^`]|``)+`)", lambda m: f"{here[(m[1] or '').lower()]}.{m[2]}" if m[2] and (m[1] or "").lower() in here else m[0], sql)
+
+        hit = f"coalesce({of(s.where)}, FALSE)" if s.where else "TRUE"
+        cells = ", ".join(f"{value(c)}, " + (f"CASE WHEN {hit} THEN try_cast(({of(sets[c])}) AS {types.spark_type(t.column(c).type)}) ELSE `_old`.`row`.{name(c)} END" if c in sets else f"`_old`.`row`.{name(c)}") for c in t.names)
+        # each step checks the row as the step before left it; the last one is checked when it is written
+        needed = [c.name for c in t.columns if c.not_null] + [c for k in t.constraints if k.kind == "primary" for c in k.columns]
+        bad = [(f"`_old`.`row`.{name(c)} IS NULL", f"NOT NULL: {t.name} needs {', '.join(needed)}") for c in needed]
+        bad += [(f"size(`_old`.`row`.{name(c.name)}) != {c.dims}", f"VECTOR: {c.name} has {c.dims} dimensions") for c in t.columns if c.dims]
+        bad += [(f"NOT coalesce({of(k.sql)}, TRUE)", f"CHECK: {k.sql}") for k in t.constraints if k.kind == "check"]
+        wrong = f"CASE {' '.join(f'WHEN {test} THEN {value(what)}' for test, what in bad)} END" if bad else "cast(NULL AS string)"
+        step = f"named_struct('row', named_struct({cells}), 'n', `_old`.`n` + CASE WHEN {hit} THEN 1L ELSE 0L END, 'bad', coalesce(`_old`.`bad`, {wrong}))"
+        fold = F.expr(f"CASE WHEN _rows IS NULL THEN _fold ELSE aggregate(_rows, _fold, (`_old`, `_add`) -> {step}) END")
+
+        keyed = new.filter(~constraints.nulls(new, key))
+        old = temporal.live(self.located(t)).join(keyed.select(*key).distinct(), key, "left_semi")
+        begin = F.struct(F.struct(*[F.col(f"`{c}`") for c in t.names]).alias("row"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("bad")).alias("_fold")
+        by = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(key)]
+        lists = lambda rows: rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_pos", *[F.col(f"`{c}`") for c in t.names]))).alias("_rows"))
+        on = [f"_k{i}" for i in range(len(key))]
+        try:
+            old.select(*by, begin).join(lists(keyed), on, "left").withColumn("_fold", fold)
+        except AnalysisException:
+            return None
+        old = written(old, "met")
+        first = written(self.one_of_each(keyed.join(old.select(*key).distinct(), key, "left_anti"), key, first=True), "first")
+        nothing = F.lit(None).cast("string")
+        state = old.select(*by, ROW, FILE, begin).unionByName(first.select(*by, nothing.alias(ROW), nothing.alias(FILE), begin))
+        for rows in self.shares(keyed.join(first.select("_pos"), "_pos", "left_anti"), key):
+            state = written(state.join(lists(rows), on, "left").withColumn("_fold", fold).drop("_rows"), "folded")
+        broken = state.filter("_fold.bad IS NOT NULL").select("_fold.bad").first()
+        if broken:
+            raise ConstraintError(broken[0])
+        was = F.col(ROW).isNotNull()
+        changed = state.filter(was & (F.col("_fold.n") > 0)).select(ROW, FILE, *[F.col(f"_fold.row.`{c}`").alias(f"_set_{c}") for c in sets])
+        fresh = state.filter(~was).select(*[F.col(f"_fold.row.`{c}`").alias(c) for c in t.names])
+        fresh = fresh.unionByName(new.filter(constraints.nulls(new, key)).select(*[F.col(f"`{c}`") for c in t.names]))
+        return old, fresh, changed, fresh.count() + (state.agg(F.sum("_fold.n")).first()[0] or 0)
+
+    def shares(self, rows: DataFrame, key: list[str]) -> list[DataFrame]:
+        """Rows in shares to be taken one after the other, so that no key has more of one than a task can hold at once."""
+        size = F.lit(48)
+        for c, kind in rows.dtypes:
+            one = F.octet_length(F.col(f"`{c}`")) if kind in ("string", "binary") else F.size(F.col(f"`{c}`")) * 8 if kind.startswith("array") else F.lit(8)
+            size = size + F.coalesce(one, F.lit(0))
+        sized = rows.withColumn("_bytes", size.cast("long"))
+        large = sized.groupBy(*key).agg(F.sum("_bytes").alias("_all")).filter(F.col("_all") > FOLD_LEAST)
+        most, many = large.agg(F.max("_all"), F.count("*")).first()
+        if not many:
+            return [rows]
+        share = max(FOLD_LEAST, FOLD_BYTES // many)
+        before = F.sum("_bytes").over(Window.partitionBy(*key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
+        dealt = sized.withColumn("_share", F.floor(F.coalesce(before, F.lit(0)) / share).cast("int")).select(*rows.columns, "_share")
+        path = new_path(self.spark, "shares")
+        dealt.write.partitionBy("_share").parquet(path)
+        read = self.spark.read.schema(dealt.schema).parquet(path)
+        return [read.filter(F.col("_share") == i).drop("_share") for i in range(most // share + 1)]
+
     def inserted_in_order(self, t: Table, s: Record, new: DataFrame, keys: list[list[str]]) -> DataFrame:
         """New rows that meet each other's keys, or one row by several keys, one after the other.
 
@@ -896,8 +977,11 @@ class Engine:
             me = name(s.alias or t.name)
             changed = written(self.spark.sql(f"SELECT {me}.{ROW}, {me}.{FILE}, {sets} FROM {o} AS {me} JOIN {pairs} AS excluded ON {me}._pos = excluded._x__pos{where}"), "changed")
             new = new.join(gone.select("_pos").distinct(), "_pos", "left_anti")
-        fresh = self.stamped(new.drop("_pos").select(*[F.col(f"`{c}`") for c in t.names]))
-        fresh = written(fresh, "fresh")
+        return self.put(t, s, old, new.select(*[F.col(f"`{c}`") for c in t.names]), changed, gone)
+
+    def put(self, t: Table, s: Record, old: DataFrame, new: DataFrame, changed: DataFrame | None, gone: DataFrame | None = None) -> DataFrame:
+        """Add new rows, give rows of old the values of changed(_row, _file, _set_<column>), or delete those gone(_row, _file)."""
+        fresh = written(self.stamped(new), "fresh")
         self.fire(t, "INSERT", None, fresh, before=True)
         t, touched = self.table(t.name), fresh
         if changed is not None:
