@@ -98,6 +98,37 @@ def test_vector_index_of_odd_rows(spark):
     assert vector_index.nearest(vector_index.build(df.limit(0), "v"), [0.0, 0.0], 3).collect() == []
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_salted_join_spreads_hot_keys_only(spark, how, kind):
+    """As a plain join; the hot key's rows lie in several partitions, those of any other key in one."""
+    from pyspark.sql import functions as F
+    from tidegate.operators import joins
+
+    alone = spark.newSession()
+    alone.conf.set("spark.sql.adaptive.enabled", "false")
+    alone.conf.set("spark.sql.shuffle.partitions", "7")
+    big = alone.range(3000).select(F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 10 = 1 THEN NULL ELSE id % 200 END").cast("bigint").alias("k"), F.col("id").alias("v"))
+    small = alone.range(150).union(alone.createDataFrame([(5,), (7,), (None,)], "id long")).select(F.col("id").cast(kind).alias("k"), (F.col("id") * 2).alias("w"))
+    out = joins.salted(big, small, "k", 5, how).withColumn("at", F.spark_partition_id()).collect()
+    want = big.join(small, "k", how).collect()
+    assert sorted(map(str, ((r["k"], r["v"], r["w"]) for r in out))) == sorted(map(str, ((r["k"], r["v"], r["w"]) for r in want)))
+    places = {}
+    for r in out:
+        places.setdefault(r["k"], set()).add(r["at"])
+    assert len(places[7]) > 1
+    if kind == "bigint":
+        assert all(len(p) == 1 for k, p in places.items() if k not in (7, None))
+
+
+def test_salted_join_is_of_two_shuffles(spark):
+    """Not broadcast by the size of a file whose rows may be many, neither at first nor once adaptive execution found no hot key."""
+    df = queries.queries()["join_salted"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
+
+
 def test_reachability_over_all_orders(spark):
     """Customers reached through any consecutive orders, by a search in Python."""
     customer = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
